@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as JavaScript defines it. Java's \s knows only the ASCII part.
-_UNICODE_WS = r"   -     　﻿"
+_UNICODE_WS = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WS = rf"[\s{_UNICODE_WS}]"
 # The same without the line feed, for patterns that must stay on one line.
 LINE_WS = rf"[ \t\x0B\f\r{_UNICODE_WS}]"
