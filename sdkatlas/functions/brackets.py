@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sdkatlas.functions.text import WS, count_of
+from sdkatlas.functions.text import WS, bind, count_of
 
 MARK = "\u0001"
 
@@ -15,49 +15,57 @@ def cut_balanced(text: Column, opening: str, closing: str) -> Column:
 
     The text is cut behind every bracket, so the fold runs over brackets, not characters.
     """
-    pieces = F.split(text, rf"(?<=[\{opening}\{closing}])", -1)
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"),
-                     F.lit(False).alias("opened"), F.lit(False).alias("done"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"), F.lit(False).alias("opened"), F.lit(False).alias("done"))
 
     def step(acc, piece):
         opens = F.endswith(piece, F.lit(opening))
         closes = F.endswith(piece, F.lit(closing))
         depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
         opened = acc["opened"] | opens
-        moved = F.struct(depth.alias("depth"), (acc["used"] + 1).alias("used"),
-                         opened.alias("opened"), (closes & opened & (depth == 0)).alias("done"))
-        return F.when(acc["done"], acc).otherwise(moved)
+        return F.when(acc["done"], acc).otherwise(F.struct(
+            depth.alias("depth"), (acc["used"] + 1).alias("used"), opened.alias("opened"),
+            (closes & opened & (depth == 0)).alias("done")))
 
-    used = F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], acc["used"]))
-    return F.array_join(F.slice(pieces, F.lit(1), used), "")
+    def prefix(pieces):
+        used = F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], acc["used"]))
+        return F.array_join(F.slice(pieces, F.lit(1), used), "")
 
+    return bind(F.split(text, rf"(?<=[\{opening}\{closing}])", -1), prefix)
 
-def argument_value(call: Column, name: str) -> Column:
-    """Text behind the first `name=` that stands directly inside the call's own brackets."""
-    marked = F.regexp_replace(call, rf"(\b{name}{WS}*=)", f"$1{MARK}")
-    parts = F.split(marked, MARK, -1)
 
-    def head(i):
-        return F.array_join(F.slice(parts, F.lit(1), i), "")
+def inside(bracketed: Column) -> Column:
+    """Text without its first and last character."""
+    return bind(bracketed, lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
 
+
+def argument_value(call: Column, name: str) -> Column:
+    """Text behind the first `name=` that stands directly inside the call's own brackets."""
     def depth(text):
         return count_of(text, "([{") - count_of(text, ")]}")
 
-    candidates = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1))
-    hit = F.get(F.filter(candidates, lambda i: depth(head(i)) == 1), F.lit(0))
-    return F.array_join(F.slice(parts, hit + 1, F.size(parts)), "")
+    def value(parts):
+        head = lambda i: F.array_join(F.slice(parts, F.lit(1), i), "")
+        hits = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: bind(head(i), depth) == 1)
+        return F.when(F.size(parts) > 1, bind(
+            F.get(hits, F.lit(0)), lambda hit: F.array_join(F.slice(parts, hit + 1, F.size(parts)), "")))
+
+    return bind(F.split(F.regexp_replace(call, rf"(\b{name}{WS}*=)", f"$1{MARK}"), MARK, -1), value)
 
 
 def innermost_identifier(expr: Column) -> Column:
     """`a(b(c))` and `c` both give `c`; anything that is not an identifier in plain calls gives NULL."""
     shape = rf"\A{WS}*(?:\w+{WS}*\({WS}*)*(\w+)(?:{WS}*\))*{WS}*\z"
-    return F.when(F.rlike(expr, F.lit(shape)) & (count_of(expr, "(") == count_of(expr, ")")),
-                  F.regexp_extract(expr, shape, 1))
+    return bind(expr, lambda e: F.when(
+        F.rlike(e, F.lit(shape)) & (count_of(e, "(") == count_of(e, ")")), F.regexp_extract(e, shape, 1)))
 
 
 def keep_last(entries: Column) -> Column:
     """Drop struct(key, value) entries whose key comes again later. Costs nothing extra without repeats."""
-    keys = F.transform(entries, lambda e: e["key"])
-    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return (F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries)
-            .otherwise(F.filter(entries, lambda e, i: ~later(e, i))))
+    later = lambda rows, e, i: F.exists(F.slice(rows, i + 2, F.size(rows)), lambda x: x["key"] == e["key"])
+
+    def kept(rows):
+        keys = F.transform(rows, lambda e: e["key"])
+        return (F.when(F.size(F.array_distinct(keys)) == F.size(rows), rows)
+                .otherwise(F.filter(rows, lambda e, i: ~later(rows, e, i))))
+
+    return bind(entries, kept)

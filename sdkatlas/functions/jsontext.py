@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sdkatlas.functions.text import bind
+
 TEXT_MAP = "map<string,string>"
 TYPED_MAP = "map<string,variant>"
 
@@ -31,25 +33,25 @@ def members(text: Column) -> Column:
 
 def as_json(raw: Column, typed: Column) -> Column:
     """JSON text of one value, given its raw text and its variant."""
-    is_string = F.schema_of_variant(typed) == "STRING"
-    return F.when(raw.isNull(), F.lit("null")).when(is_string, F.to_json(typed)).otherwise(raw)
+    return (F.when(raw.isNull(), F.lit("null"))
+            .when(F.schema_of_variant(typed) == "STRING", F.to_json(typed)).otherwise(raw))
 
 
 def member_json(text: Column, key: str) -> Column:
     """JSON text of one member: 'null' when it is null, NULL when it is absent."""
-    raw = F.from_json(text, TEXT_MAP)
-    typed = F.from_json(text, TYPED_MAP)
-    return F.when(F.map_contains_key(raw, key),
-                  as_json(F.try_element_at(raw, F.lit(key)), F.try_element_at(typed, F.lit(key))))
+    typed = lambda t: F.try_element_at(F.from_json(t, TYPED_MAP), F.lit(key))
+    value = lambda t, raw: F.when(F.map_contains_key(raw, key), as_json(F.try_element_at(raw, F.lit(key)), typed(t)))
+    # Most objects lack the key; the cheap test spares them both parses.
+    return bind(text, lambda t: F.when(
+        F.contains(t, F.lit(f'"{key}"')), bind(F.from_json(t, TEXT_MAP), lambda raw: value(t, raw))))
 
 
 def json_kind(json: Column) -> Column:
-    head = F.substring(F.ltrim(json), 1, 1)
-    return (F.when(head == "{", "object").when(head == "[", "array").when(head == '"', "string")
-            .when(head.isin("t", "f"), "boolean").when(head == "n", "null").otherwise("number"))
+    return bind(F.substring(F.ltrim(json), 1, 1), lambda head: (
+        F.when(head == "{", "object").when(head == "[", "array").when(head == '"', "string")
+        .when(head.isin("t", "f"), "boolean").when(head == "n", "null").otherwise("number")))
 
 
 def quote(text: Column) -> Column:
     """Text as a JSON string literal."""
-    wrapped = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("s")), {"ignoreNullFields": "false"})
-    return F.when(text.isNotNull(), F.substr(wrapped, F.lit(6), F.length(wrapped) - 6))
+    return F.when(text.isNotNull(), bind(F.to_json(F.struct(text.alias("s"))), lambda w: F.substr(w, F.lit(6), F.length(w) - 6)))

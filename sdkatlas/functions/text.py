@@ -12,9 +12,17 @@ WS = rf"[\s{_UNICODE_WS}]"
 LINE_WS = rf"[ \t\x0B\f\r{_UNICODE_WS}]"
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once, however often `use` mentions it.
+
+    Inside higher-order functions Spark does not share common subexpressions by itself.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     """`regexp_extract` yields '' where nothing matched; make that NULL."""
-    return F.nullif(value, F.lit(""))
+    return bind(value, lambda v: F.when(v != "", v))
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -23,7 +31,7 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many characters of `text` belong to `chars`."""
+    """How many characters of `text` belong to `chars`. Mentions `text` twice."""
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 

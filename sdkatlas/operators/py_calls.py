@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sdkatlas.functions.brackets import argument_value, cut_balanced, innermost_identifier, keep_last
+from sdkatlas.functions.brackets import argument_value, cut_balanced, innermost_identifier, inside, keep_last
+from sdkatlas.functions.rows import keep
 from sdkatlas.functions.text import (
-    LINE_WS, WS, blank_to_null, count_of, first_group, normalize_path, normalize_placeholders, placeholders,
+    LINE_WS, WS, bind, blank_to_null, count_of, first_group, normalize_path, normalize_placeholders, placeholders,
 )
 
 FILE_PATTERN = r"raw_client\.py\z"
@@ -35,7 +36,7 @@ def method_pieces(files: DataFrame, call_target: str = CALL_TARGET) -> DataFrame
     `call_source` starts with the line of the call. It ends with the method, and goes on to the end
     of the file only where the method's brackets do not add up.
     """
-    call_line = rf"[^\n]*{call_target}(?:request|stream){LINE_WS}*\("
+    call = rf"{call_target}(?:request|stream){LINE_WS}*\("
     chunks = F.split("content", rf"(?dm)(?=^{_CLASS})", -1)
 
     def of_chunk(chunk, number):
@@ -43,7 +44,7 @@ def method_pieces(files: DataFrame, call_target: str = CALL_TARGET) -> DataFrame
         pieces = F.transform(F.split(body, rf"(?dm)(?=^{_METHOD})", -1), lambda text, i: F.struct(
             number.alias("chunk"), text.alias("text"),
             first_group(text, rf"\A{_METHOD}").alias("method_name"),
-            F.rlike(text, F.lit(call_line)).alias("calls")))
+            F.rlike(text, F.lit(call)).alias("calls")))
         return F.when(F.rlike(chunk, F.lit(_SYNC_CLASS)), pieces).otherwise(F.slice(pieces, 1, 0))
 
     cut = files.withColumn("_chunks", chunks).withColumn(
@@ -60,14 +61,14 @@ def method_pieces(files: DataFrame, call_target: str = CALL_TARGET) -> DataFrame
             (i > 0) & piece["calls"], F.when(~used, last["method_name"]))
 
     def source(piece, i):
-        own = F.regexp_extract(piece["text"], rf"(?s)(?:\A|(?<=\n)){call_line}.*\z", 0)
-        to_file_end = F.concat(
+        to_file_end = lambda own: F.concat(
             own,
             F.array_join(F.transform(F.filter(
                 F.slice("_pieces", i + 2, F.size("_pieces")), lambda p: p["chunk"] == piece["chunk"]), lambda p: p["text"]), ""),
             F.array_join(F.slice("_chunks", piece["chunk"] + 2, F.size("_chunks")), ""))
-        regular = (count_of(own, "(") <= count_of(own, ")")) & F.rlike(own, F.lit(r"\A[^()]*\("))
-        return F.when(regular, own).otherwise(to_file_end)
+        regular = lambda own: (count_of(own, "(") <= count_of(own, ")")) & F.rlike(own, F.lit(r"\A[^()]*\("))
+        from_call = F.regexp_extract(piece["text"], rf"(?s)(?:\A|(?<=\n))[^\n]*{call}.*\z", 0)
+        return bind(from_call, lambda own: F.when(regular(own), own).otherwise(to_file_end(own)))
 
     owned = F.transform("_pieces", lambda piece, i: F.when(piece["calls"], F.struct(
         i.alias("ord"), owner(piece, i).alias("method_name"), source(piece, i).alias("call_source"))))
@@ -98,44 +99,49 @@ def path_parameter_names(raw_path: Column) -> Column:
 def dict_entries(body: Column) -> Column:
     """`"wire": identifier` pairs as a map. Commas always separate, nested or not."""
     pattern = F.lit(rf'"([^"]+)"{WS}*:{WS}*([^,]+)')
-    pairs = F.zip_with(
-        F.regexp_extract_all(body, pattern, F.lit(1)), F.regexp_extract_all(body, pattern, F.lit(2)),
+    pairs = lambda b: F.zip_with(
+        F.regexp_extract_all(b, pattern, F.lit(1)), F.regexp_extract_all(b, pattern, F.lit(2)),
         lambda k, v: F.struct(k.alias("key"), innermost_identifier(v).alias("value")))
-    return F.map_from_entries(keep_last(F.filter(pairs, lambda p: p["value"].isNotNull())))
+    return F.map_from_entries(keep_last(F.filter(bind(body, pairs), lambda p: p["value"].isNotNull())))
 
 
 def _dict_text(value: Column) -> Column:
     """Inside of the dict literal that `value` starts with."""
-    closed = cut_balanced(F.regexp_replace(value, rf"\A{WS}+", ""), "{", "}")
-    return F.when(F.rlike(value, F.lit(rf"\A{WS}*\{{")), F.substr(closed, F.lit(2), F.length(closed) - 2))
+    return bind(F.regexp_replace(value, rf"\A{WS}+", ""),
+                lambda v: F.when(v.startswith("{"), inside(cut_balanced(v, "{", "}"))))
 
 
 def _passthrough_identifier(value: Column) -> Column:
     """Identifier that is the whole argument, bare or inside plain calls."""
     shape = rf"\A{WS}*((?:\w+{WS}*\({WS}*)*)(\w+){WS}*((?:\){WS}*)*)"
-    part = lambda i: F.regexp_extract(value, shape, i)
-    opened, closed = count_of(part(1), "("), count_of(part(3), ")")
-    ended = F.rlike(value, F.lit(shape + r"(?:[,\]}]|\z)"))
-    return F.when((closed > opened) | ((closed == opened) & ended), blank_to_null(part(2)))
+
+    def read(v):
+        opened = count_of(F.regexp_extract(v, shape, 1), "(")
+        closed = count_of(F.regexp_extract(v, shape, 3), ")")
+        ended = F.rlike(v, F.lit(shape + r"(?:[,\]}]|\z)"))
+        return F.when((closed > opened) | ((closed == opened) & ended), blank_to_null(F.regexp_extract(v, shape, 2)))
+
+    return bind(value, read)
 
 
 def body_arguments(calls: DataFrame) -> DataFrame:
     """`body_kwargs` for a dict body, `body_passthrough` for a body handed on whole."""
+    value = F.col("_json")
     return (calls.withColumn("_json", argument_value(F.col("call_text"), "json"))
-            .withColumn("_is_dict", F.rlike("_json", F.lit(rf"\A{WS}*\{{")))
-            .withColumn("body_kwargs", dict_entries(_dict_text(F.col("_json"))))
-            .withColumn("body_passthrough", F.when(~F.col("_is_dict"), _passthrough_identifier(F.col("_json"))))
-            .drop("_json", "_is_dict"))
+            .withColumn("body_kwargs", dict_entries(_dict_text(value)))
+            .withColumn("body_passthrough", F.when(~F.rlike(value, F.lit(rf"\A{WS}*\{{")), _passthrough_identifier(value)))
+            .drop("_json"))
 
 
 def query_arguments(calls: DataFrame) -> DataFrame:
     return calls.withColumn("query_kwargs", dict_entries(_dict_text(argument_value(F.col("call_text"), "params"))))
 
 
-def merged_kwargs(body: Column, query: Column) -> Column:
-    """Query entries win over body entries of the same key."""
-    kept = F.map_filter(body, lambda k, v: ~F.map_contains_key(query, k))
-    return F.coalesce(F.map_concat(kept, query), body, query)
+def merge_arguments(calls: DataFrame) -> DataFrame:
+    """`merged_kwargs`: query entries win over body entries of the same key."""
+    body, query = F.col("body_kwargs"), F.col("query_kwargs")
+    kept = F.map_filter(body, lambda k, v: ~F.array_contains(F.map_keys(query), k))
+    return calls.withColumn("merged_kwargs", F.coalesce(F.map_concat(kept, query), body, query))
 
 
 def first_per_file(rows: DataFrame) -> DataFrame:
@@ -145,10 +151,15 @@ def first_per_file(rows: DataFrame) -> DataFrame:
 
 
 def calls_with_targets(spans: DataFrame) -> DataFrame:
-    return (spans.withColumn("raw_path", request_path(F.col("call_text")))
-            .withColumn("http_method", request_verb(F.col("call_text")))
-            .filter(F.col("raw_path").isNotNull() & F.col("http_method").isNotNull())
-            .withColumn("http_path", normalize_placeholders(normalize_path(F.col("raw_path")))))
+    """Calls that give both a path and a verb: adds raw_path, http_method, http_path."""
+    def target(path, verb):
+        return F.when(path.isNotNull() & verb.isNotNull(), F.struct(
+            path.alias("raw_path"), verb.alias("http_method"),
+            normalize_placeholders(normalize_path(path)).alias("http_path")))
+
+    text = F.col("call_text")
+    record = bind(request_path(text), lambda path: bind(request_verb(text), lambda verb: target(path, verb)))
+    return keep(spans, spans.columns, record)
 
 
 def python_endpoints(files: DataFrame) -> DataFrame:
@@ -157,11 +168,11 @@ def python_endpoints(files: DataFrame) -> DataFrame:
                             & F.col("path").startswith(F.concat("package_root", F.lit("/"))))
                .withColumn("chain", method_chain(F.col("path"), F.col("package_root")))
                .filter(~F.array_contains("chain", "core")))
-    calls = query_arguments(body_arguments(calls_with_targets(call_spans(method_pieces(clients)))))
+    calls = merge_arguments(query_arguments(body_arguments(calls_with_targets(call_spans(method_pieces(clients))))))
     names = path_parameter_names(F.col("raw_path"))
     return first_per_file(calls.select(
         "repo_id", "path", F.col("ord").cast("bigint").alias("ord"), "http_method", "http_path",
         F.concat("chain", F.array("method_name")).alias("method_chain"), "method_name",
         names.alias("path_param_names"),
-        merged_kwargs(F.col("body_kwargs"), F.col("query_kwargs")).alias("body_kwarg_by_json_key"),
+        F.col("merged_kwargs").alias("body_kwarg_by_json_key"),
         F.col("body_passthrough").alias("body_kwarg_for_passthrough")))
