@@ -87,7 +87,7 @@ def render_calls(calls: DataFrame, templates: DataFrame, offered: DataFrame, fie
         filled = F.replace("field_template", F.lit("{{value}}"), "text")
         top = level.filter(F.col("depth") == F.col("skipped")).select(*_PART, filled.alias("text"), "language")
         finished = top if finished is None else finished.unionByName(top)
-        listed = lambda rows, sep: F.array_join(F.transform(F.sort_array(rows), lambda r: r["text"]), sep)
+        listed = lambda rows, sep: F.call_function("array_join", F.transform(F.sort_array(rows), lambda r: r["text"]), sep)
         # The children of one container: no more than its text lists.
         below = (level.filter(F.col("depth") > F.col("skipped")).groupBy(*_PART, F.col("parent").alias("at")).agg(
             F.collect_list(F.when(F.col("key").isNull(), F.struct("ord", "text"))).alias("item_list"),
@@ -97,7 +97,7 @@ def render_calls(calls: DataFrame, templates: DataFrame, offered: DataFrame, fie
             .select(*place, listed(F.col("item_list"), F.col("sep")).alias("items"),
                     listed(F.col("field_list"), separator(F.col("spoken"))).alias("fields"), listed(F.col("member_list"), F.lit(", ")).alias("members")))
     bodies = finished.groupBy(CALL).agg(F.sort_array(F.collect_list(F.struct("part", "group", "field_ord", "text"))).alias("list"), F.first("language").alias("spoken"))
-    body = bodies.select(*CALL, F.array_join(F.col("list.text"), separator(F.col("spoken"))).alias("body_text"))
+    body = bodies.select(*CALL, F.call_function("array_join", F.col("list.text"), separator(F.col("spoken"))).alias("body_text"))
     value = lambda p: F.coalesce(F.try_element_at("path_values", p["name"]), F.lit("null"))
     filled = F.aggregate("params", F.col("call_template"), lambda acc, p: F.replace(acc, F.concat(F.lit("{{"), p["name"], F.lit("}}")), literal(value(p))))
     return (calls.join(templates.select(*ENDPOINT_KEY, "http_method", "http_path", "language", "call_template", "params"), ENDPOINT_KEY)

@@ -149,7 +149,7 @@ def enum_constants(spark, sf):
     (3, '/items/properties/label', 'label', 'string', true, 'jt'), (3, '/items/properties/weight', 'weight', 'number', false, 'jt'), (3, '/items/properties/next', 'next', 'object', false, 'jt'))
     select repo_id, http_method, http_path, path, json_key, kind, required, case when json_key <> '' or language = 'python' then null
       when language = 'java' then 'Tag.builder(){{{{__body__}}}}.build()' else '{{ {{{{__body__}}}} }}' end as wrap
-    from ops join below on c = p % 6 and contains(langs, left(language, 1))""".replace("{{", "{").replace("}}", "}"))
+    from ops join below on c = p % 6 and contains(langs, left(language, 1))""")
 def nested_fields(spark, sf):
     rows, nodes = shaped(spark, sf)
     below = render.catalog(nodes).filter(~render.is_top() & (F.col("usage") == "body")).select(
@@ -158,7 +158,7 @@ def nested_fields(spark, sf):
 
 
 @query("passthrough", f"""with {OPS} select repo_id, http_method, http_path, case when p % 6 = 3 then 'list' else 'object' end as kind, '{{{{value}}}}' as field_template
-    from ops where p % 6 in (3, 5)""".replace("{{", "{").replace("}}", "}"))
+    from ops where p % 6 in (3, 5)""")
 def passthrough(spark, sf):
     return offered(spark, sf).filter("passthrough").select(*KEY, "kind", "field_template")
 

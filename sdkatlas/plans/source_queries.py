@@ -170,7 +170,7 @@ def py_endpoints(spark, sf):
       || case p % 3 when 0 then '            json={{"sizeValue": size_' || size || ', "brandName": jsonable_encoder(convert(brand_name)), "mixed": f(a, b)}},' || chr(10)
            when 1 then '            json=jsonable_encoder(request),' || chr(10) else '' end
       || case when p % 7 = 0 then '            params={{"pageSize": page_size, "sizeValue": q_size}},' || chr(10) else '' end
-      || '            headers={{"X-Trace": str(trace("' || p || '"))}},' || chr(10) || '        )' as call_text from sdk""".replace("{{", "{").replace("}}", "}"))
+      || '            headers={{"X-Trace": str(trace("' || p || '"))}},' || chr(10) || '        )' as call_text from sdk""")
 def py_call_spans(spark, sf):
     return python_calls(spark, sf).select("repo_id", "path", "method_name", "call_text")
 
