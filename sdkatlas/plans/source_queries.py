@@ -141,9 +141,9 @@ def spec_location(spark, sf):
 def changed_artifacts(spark, sf):
     part, key = corpus.table(spark, sf, "part"), F.col("p_partkey")
     payload = lambda size: F.to_json(F.struct(F.col("p_name"), size.alias("p_size")))
-    stored = part.filter(key % 13 != 0).select(key.alias("artifact"), payload(F.col("p_size")).alias("payload"))
-    current = part.filter(key % 7 != 0).select(
-        key.alias("artifact"), payload(F.when(key % 11 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).alias("payload"))
+    stored = artifacts.with_digest(part.filter(key % 13 != 0).select(key.alias("artifact"), payload(F.col("p_size")).alias("payload")))
+    current = artifacts.with_digest(part.filter(key % 7 != 0).select(
+        key.alias("artifact"), payload(F.when(key % 11 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).alias("payload")))
     return artifacts.changes(current, stored, ["artifact"], part.filter(key % 17 != 0).select(key.alias("artifact")))
 
 
