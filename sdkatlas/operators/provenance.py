@@ -27,8 +27,11 @@ def spec_lookup(metadata: DataFrame, published: DataFrame) -> DataFrame:
 
     `published(origin_commit, doc)` may hold one commit several times.
     """
+    about = metadata.select("repo_id", "origin_commit")
+    has_commit = ~_missing(F.col("origin_commit"))
+    # Repos without a commit would all meet on one key, so they stay out of the join.
+    invalid = about.filter(~has_commit).withColumn("status", F.lit("invalid"))
     available = published.select("origin_commit").distinct().withColumn("is_published", F.lit(True))
-    status = (F.when(_missing(F.col("origin_commit")), "invalid")
-              .when(F.col("is_published"), "ready").otherwise("pending"))
-    return (metadata.select("repo_id", "origin_commit").join(available, "origin_commit", "left")
-            .select("repo_id", "origin_commit", status.alias("status")))
+    looked_up = (about.filter(has_commit).join(available, "origin_commit", "left")
+                 .select("repo_id", "origin_commit", F.when(F.col("is_published"), "ready").otherwise("pending").alias("status")))
+    return looked_up.unionByName(invalid)

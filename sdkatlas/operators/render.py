@@ -65,10 +65,10 @@ def enum_constants(enum: Column, ref_name: Column, language: Column) -> Column:
 
 
 def schemas_in_use(endpoints: DataFrame) -> DataFrame:
-    """(repo_id, usage, text) of every schema an endpoint mentions."""
-    params = lambda column: endpoints.select("repo_id", F.lit(FIELD).alias("usage"), F.explode(F.col(column)["schema"]).alias("text"))
-    body = endpoints.select("repo_id", F.lit(BODY).alias("usage"), F.col("body_schema").alias("text"))
-    return body.unionByName(params("path_params")).unionByName(params("query_params"))
+    """(repo_id, usage, text) of every schema an endpoint mentions, in one pass over the endpoints."""
+    used = lambda usage, text: F.struct(F.lit(usage).alias("usage"), text.alias("text"))
+    params = F.transform(F.concat("path_params", "query_params"), lambda p: used(FIELD, p["schema"]))
+    return endpoints.select("repo_id", F.inline(F.concat(F.array(used(BODY, F.col("body_schema"))), params)))
 
 
 def resolved_nodes(endpoints: DataFrame, components: DataFrame, languages: DataFrame) -> DataFrame:

@@ -251,7 +251,16 @@ def manifest_rows(spark, sf):
     return found.select("repo_id", "example_key", "language", "package_name", "spec_commit", "request_body", "response_body", "streaming", "render")
 
 
-@query("manifest_json")
+RULES = """case language when 'python' then '{"stringLiteral":"\\"{{value}}\\"","numberLiteral":"{{value}}","trueLiteral":"True","falseLiteral":"False","nullLiteral":"None","listLiteral":"[{{items}}]","listSeparator":", "}'
+    when 'java' then '{"stringLiteral":"\\"{{value}}\\"","numberLiteral":"{{value}}","trueLiteral":"true","falseLiteral":"false","nullLiteral":"null","listLiteral":"Arrays.asList({{items}})","listSeparator":", "}'
+    else '{"stringLiteral":"\\"{{value}}\\"","numberLiteral":"{{value}}","trueLiteral":"true","falseLiteral":"false","nullLiteral":"null","listLiteral":"[{{items}}]","listSeparator":", "}' end"""
+DOCUMENT = f"""'{{"metadata":{{"language":"' || language || '","packageName":"pkg' || repo_id || '","sdkVersion":"1.0","specCommit":"' || case when repo_id % 4 = 0 then 'unknown' else 'c' || repo_id end
+      || '","generatorName":"vendor/' || language || '"}},"renderRules":' || {RULES} || ',"examples":{{' || string_agg('"' || http_method || ' ' || http_path || '":{{"httpMethod":"' || http_method
+      || '","httpPath":"' || http_path || '","request":{{"body":' || coalesce(request_example, 'null') || '}},"response":{{"body":' || coalesce(response_example, 'null')
+      || case when is_streaming then ',"streaming":true' else '' end || '}},"render":' || render || '}}', ',' order by p) || '}}}}'"""
+
+
+@query("manifest_json", f"with {FIELDS}, {RENDER} select repo_id, language, {DOCUMENT} as document from renders group by repo_id, language")
 def manifest_json(spark, sf):
     rows, nodes = prepared(spark, sf)
     found = manifest.manifest_rows(match.examples(render.render_schemas(rows, nodes)), metadata_of(corpus.contract_languages(spark, sf)))
