@@ -31,8 +31,14 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many characters of `text` belong to `chars`. Mentions `text` twice."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many characters of `text` belong to the ASCII `chars`. Mentions `text` twice.
+
+    Byte-wise replacement is many times faster than `translate`, which works code point by code point.
+    """
+    without = text
+    for char in chars:
+        without = F.replace(without, F.lit(char), F.lit(""))
+    return F.octet_length(text) - F.octet_length(without)
 
 
 def trim_ws(text: Column) -> Column:
