@@ -18,7 +18,7 @@ def column_of(spark, values, fn):
     (tx.snake_to_camel, {"a_b_1": "aB1", "__a": "_A", "a_B": "a_B", "x": "x"}),
     (tx.pascal_case, {"sys-tem_x": "SysTemX", "a": "A", "": ""}),
     (tx.screaming_snake, {"a-b_c": "A_B_C"}),
-    (tx.strip_schema_prefix, {"fhir_provider_Provider": "Provider", "agent_Chat_Role": None, "Role": "Role", "agent_role": "agent_role"}),
+    (tx.strip_schema_prefix, {"stock_item_Item": "Item", "agent_Chat_Role": None, "Role": "Role", "agent_role": "agent_role"}),
     (innermost_identifier, {"a": "a", "f(g( a ))": "a", "a.b": None, "f(a, b)": None, "f(a": None, "(a)": None}),
     (json_kind, {'{"a":1}': "object", "[1]": "array", '"s"': "string", "true": "boolean", "null": "null", " -1": "number"}),
     (quote, {'a"b\n': '"a\\"b\\n"', "": '""'}),
