@@ -6,8 +6,8 @@ Registers are banded; a class meets the others of a band in a bucket. Their simi
 registers are larger, smaller and equal, and pairs that may reach the threshold are verified on their full sets.
 
 No pairs of a whole group are made. First each class is compared with the least class of its buckets, and links are closed to components. Then only
-pairs of different components that still meet in a bucket are looked at: in small buckets by a join, in large ones block by block, where only
-pairs with a high enough estimate leave the task. So every pair of different components that shares a band is decided, whatever the bucket's size.
+pairs of different components that still meet in a bucket are looked at: in small buckets by a join, in large ones block against block in tasks
+that hold both blocks' texts and return links alone. So every pair of different components that shares a band is decided, whatever the bucket's size.
 
 Null or empty text and text without words: n_shingles 0, linked with nothing. Fewer than five words: the whole sequence is one shingle. Equal rows
 (also with equal doc_id) are of one class and each comes back. Null doc_id: it is in its class but never names it, unless all its ids are null.
@@ -127,11 +127,24 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.withColumn("e", F.pandas_udf(likely, "double")("r_a", "r_b", "n_a", "n_b")).filter(F.col("e") >= LEAST_ESTIMATE).select("a", "b", "doc_a", "doc_b")
 
 
+def texts_of(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, text (UTF-8) of the documents in `docs` (doc), saved: only these are shuffled later."""
+    needed = common.saved(docs.distinct(), "needed")
+    found = documents.join(common.small(needed), documents["doc_id"].eqNullSafe(F.col("doc")), "left_semi")
+    return common.saved(found.select("doc_id", common.utf8(F.col("text")).alias("text")).distinct(), "texts")
+
+
+def is_link(one: np.ndarray, other: np.ndarray) -> bool:
+    both = np.concatenate((one, other))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(both) - shared)
+
+
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets. Only the texts of documents in pairs are shuffled, once for either side."""
+    """The pairs (a, b) that are links on their full sets."""
     pairs = common.saved(pairs, "pairs")
-    needed = common.saved(pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")).distinct(), "needed")
-    texts = common.saved(documents.join(common.small(needed), documents["doc_id"].eqNullSafe(F.col("doc")), "left_semi").select("doc_id", common.utf8(F.col("text")).alias("text")).distinct(), "texts")
+    texts = texts_of(pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")), documents)
     side = lambda s: texts.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
     # the side with most pairs last: its rows come one after the other, and their sets are made once
     joined = pairs.join(side("b"), "doc_b").join(side("a"), "doc_a")
@@ -154,12 +167,8 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                     else:
                         found = kept[name]
                     sets.append(found)
-                if sets[0] is not None and sets[1] is not None:
-                    both = np.concatenate(sets)
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= PERCENT * (len(both) - shared):
-                        out.append((a, b))
+                if sets[0] is not None and sets[1] is not None and is_link(*sets):
+                    out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return common.saved(joined.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long").distinct(), "links")
@@ -182,34 +191,71 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def open_pairs(bands: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket. Large buckets are cut into blocks and looked at block against block."""
-    joined = bands.join(labels, bands["class"] == labels["node"], "left").select("band", "class", F.coalesce("label", "class").alias("label"))
+def unsettled_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, i, class, label, n of all members of buckets that hold several components."""
+    joined = bands.join(labels, bands["class"] == labels["node"], "left").select("band", "i", "class", F.coalesce("label", "class").alias("label"))
     members = common.saved(joined, "members")
-    unsettled = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("band", "n")
-    rows = common.saved(members.join(unsettled, "band"), "unsettled")
+    several = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("band", "n")
+    return common.saved(members.join(several, "band"), "unsettled")
+
+
+def small_bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket of at most SMALL_BUCKET."""
     few = rows.filter(F.col("n") <= SMALL_BUCKET)
     one = few.select("band", F.col("class").alias("a"), F.col("label").alias("label_a"))
     other = few.select("band", F.col("class").alias("b"), F.col("label").alias("label_b"))
-    near = one.join(other, "band").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b")
+    return one.join(other, "band").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
+
+
+def large_bucket_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a, b) between components in larger buckets. A bucket is cut into blocks of some BLOCK classes and a task sees two blocks; it
+    estimates each pair of different components, verifies the likely ones, and returns links enough to join what is linked."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     many = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
     spread = many.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("p", F.least("own", "k")).withColumn("q", F.greatest("own", "k"))
-    shown = spread.join(nodes.select("class", "n_shingles", "registers"), "class").select("band", "p", "q", "own", "class", "label", "n_shingles", "registers")
+    member_docs = many.select("class").distinct().join(nodes.select("class", "doc", "n_shingles", "registers"), "class")
+    held = common.saved(member_docs, "large-members")
+    texts = texts_of(held.select("doc"), documents)
+    members = held.join(texts, held["doc"].eqNullSafe(texts["doc_id"])).select("class", "n_shingles", "registers", "text")
+    shown = spread.join(members, "class").select("band", "i", "p", "q", "own", "class", "label", "n_shingles", "registers", "text")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["own"] == group["p"]], group[group["own"] == group["q"]]
-        matrix_right, sizes = _matrix(right["registers"]), right["n_shingles"].to_numpy()
-        out = []
-        for c, label, n, r in zip(left["class"], left["label"], left["n_shingles"], left["registers"], strict=True):
-            to = np.flatnonzero((right["label"].to_numpy() != label) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
+        hashes, sets, root = WordHashes(), {}, {}
+
+        def set_of(row) -> np.ndarray | None:
+            if row.Index not in sets:
+                found = shingles(row.text, hashes)
+                sets[row.Index] = found if identity(found)[0] == row[group.columns.get_loc("class") + 1] else None
+            return sets[row.Index]
+
+        def top(label: int) -> int:
+            while root.get(label, label) != label:
+                label = root[label]
+            return label
+
+        band, left, right = int(group["i"].iloc[0]), group[group["own"] == group["p"]], group[group["own"] == group["q"]]
+        matrix, sizes, labels = _matrix(right["registers"]), right["n_shingles"].to_numpy(), right["label"].to_numpy()
+        others, out = list(right.itertuples()), []
+        at = group.columns.get_loc("class") + 1
+        for row in left.itertuples():
+            to = np.flatnonzero((labels != row.label) & (100 * np.minimum(sizes, row.n_shingles) >= PERCENT * np.maximum(sizes, row.n_shingles)))
+            if not len(to):
+                continue
+            own = np.frombuffer(row.registers, "<u2")
+            # pairs that share an earlier band are decided there
+            earlier = (matrix[to, :band * ROWS] == own[:band * ROWS]).reshape(len(to), band, ROWS).all(2).any(1) if band else np.zeros(len(to), bool)
+            to = to[~earlier]
             if len(to):
-                own = np.broadcast_to(np.frombuffer(r, "<u2"), (len(to), REGISTERS))
-                good = to[estimate(own, matrix_right[to], np.full(len(to), n), sizes[to]) >= LEAST_ESTIMATE]
-                out += [(min(c, d), max(c, d)) for d in right["class"].to_numpy()[good].tolist()]
+                likely = estimate(np.broadcast_to(own, (len(to), REGISTERS)), matrix[to], np.full(len(to), row.n_shingles), sizes[to])
+                for k in to[likely >= LEAST_ESTIMATE].tolist():
+                    other = others[k]
+                    a, b = top(row.label), top(other.label)
+                    if a != b and set_of(row) is not None and set_of(other) is not None and is_link(set_of(row), set_of(other)):
+                        root[a] = b
+                        out.append((row[at], other[at]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return near.union(shown.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long")).distinct()
+    return shown.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
 def clusters(documents: DataFrame) -> DataFrame:
@@ -221,13 +267,14 @@ def clusters(documents: DataFrame) -> DataFrame:
     nodes = common.saved(sketches.filter("n_shingles > 0").groupBy("class").agg(first.alias("f")).select("class", F.col("f.doc_id").alias("doc"), "f.registers", "f.n_shingles"), "classes")
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
-    all_bands = nodes.select("class", F.explode(keys).alias("band"))
+    all_bands = nodes.select("class", F.posexplode(keys).alias("i", "band"))
     buckets = all_bands.groupBy("band").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
     bands = common.saved(all_bands.join(buckets, "band"), "bands")  # classes alone in a bucket are gone here
     stars = bands.filter(F.col("class") != F.col("head")).select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
     links = verified(promising(stars, nodes), rows)
     labels = common.saved(components(links), "labels")
-    more = verified(promising(open_pairs(bands.select("band", "class"), nodes, labels), nodes), rows)
+    open_ = unsettled_buckets(bands.select("band", "i", "class"), labels)
+    more = verified(promising(small_bucket_pairs(open_), nodes), rows).union(large_bucket_links(open_, nodes, rows))
     labels = common.saved(components(links.union(more)), "labels")
     named = nodes.select("class", "doc").join(labels, F.col("class") == F.col("node"), "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     names = named.groupBy("label").agg(F.min("doc").alias("component_id"))
