@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def texts(values: Iterable[str | None]) -> pd.Series:
+    """A column of strings as plain objects, which every Arrow conversion takes."""
+    return pd.Series(list(values), dtype=object)
+
+
 def share(rows: DataFrame, key: str, bound: int, total: int) -> DataFrame:
     """About `bound` of `total` rows, chosen by a hash of the key: the same rows on every run, spread over the whole table."""
     if total <= bound:

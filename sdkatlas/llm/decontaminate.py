@@ -116,8 +116,11 @@ def _long_hits(texts: DataFrame, bench: DataFrame) -> DataFrame:
 
 def _short_hits(texts: DataFrame, bench: DataFrame, lengths: list[int]) -> DataFrame:
     items = bench.filter(F.col("n") < SPAN).select("item_id", F.col("w").alias("i_w"), "n", F.xxhash64("w").alias("fp"))
-    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.struct(i.alias("at"), F.slice("w", i, n).alias("run"))))
-            .otherwise(F.array().cast("array<struct<at:int,run:array<string>>>")) for n in lengths]
+    def runs_of(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("at"), F.slice("w", i, n).alias("run")))
+        return F.when(F.size("w") >= n, found).otherwise(F.array().cast("array<struct<at:int,run:array<string>>>"))
+
+    runs = [runs_of(n) for n in lengths]
     places = F.concat(*runs) if runs else F.array().cast("array<struct<at:int,run:array<string>>>")
     rows = texts.select("doc_id", "_text", F.explode(places).alias("p")).withColumn("fp", F.xxhash64("p.run"))
     pairs = rows.join(items, "fp").filter(F.col("p.run") == F.col("i_w"))
@@ -135,8 +138,9 @@ def judge(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    bad = common.saved(find_hits(documents, items).filter(contaminated()).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")), "contaminated")
-    return documents.join(common.small(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    hits = find_hits(documents, items).filter(contaminated()).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"))
+    bad = common.small(common.saved(hits, "contaminated"))
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(documents["text"]) == bad["_key"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 np.add.at(counts, triples, 1)
     for lang, counts in sums.items():
         found = np.flatnonzero(counts)
-        yield pd.DataFrame({"lang": lang, "gram": found.astype(np.int32), "n": counts[found]})
+        yield pd.DataFrame({"lang": common.texts([lang] * len(found)), "gram": found.astype(np.int32), "n": counts[found]})
 
 
 def fit(counts: dict[str, np.ndarray]) -> Model | None:
@@ -149,7 +149,7 @@ def decode(model: Model, texts: list[bytes]) -> pd.DataFrame:
     likely = np.exp(-SHARPNESS * (losses - least[:, None]))
     letters = np.array([has_letter(d) for d in texts], dtype=bool)
     names = np.array(model.languages, dtype=object)[first] if len(texts) else np.array([], dtype=object)
-    return pd.DataFrame({"lang_pred": np.where(letters, names, "und"), "score": np.where(letters, 1 / likely.sum(1), 0.0), "ambiguous": ~letters | (lead < AMBIGUOUS)})
+    return pd.DataFrame({"lang_pred": common.texts(np.where(letters, names, "und")), "score": np.where(letters, 1 / likely.sum(1), 0.0), "ambiguous": ~letters | (lead < AMBIGUOUS)})
 
 
 def language_of(spark: SparkSession, model: Model | None, text: Column) -> Column:
@@ -160,7 +160,7 @@ def language_of(spark: SparkSession, model: Model | None, text: Column) -> Colum
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if shared.value is None or not len(batch):
-                yield pd.DataFrame({"lang_pred": ["und"] * len(batch), "score": [0.0] * len(batch), "ambiguous": [True] * len(batch)})
+                yield pd.DataFrame({"lang_pred": common.texts(["und"] * len(batch)), "score": [0.0] * len(batch), "ambiguous": [True] * len(batch)})
             else:
                 yield decode(shared.value, list(batch))
 

@@ -289,8 +289,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group, with its own columns; rows with the doc_id of a kept document are that document."""
-    gone = common.saved(near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "copies")
-    return documents.join(common.small(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = common.small(common.saved(near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "copies"))
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

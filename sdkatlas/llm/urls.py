@@ -71,9 +71,9 @@ def page_words(pages: DataFrame) -> DataFrame:
                 for w in word.findall(tag.sub(b" ", html).lower()):
                     seen[w] = seen.get(w, 0) + 1
             if len(seen) > 200_000:
-                yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+                yield pd.DataFrame({"word": common.texts(w.decode() for w in seen), "n": list(seen.values())})
                 seen = {}
-        yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+        yield pd.DataFrame({"word": common.texts(w.decode() for w in seen), "n": list(seen.values())})
 
     rows = pages.select(common.utf8(F.col("html")).alias("html"))
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -129,9 +129,9 @@ def fit(spark: SparkSession, pages: DataFrame, ruled: DataFrame) -> Model:
                 for token in [*tokens.of(host, path), ""]:  # the empty token counts pages
                     seen[token, verdict] = seen.get((token, verdict), 0) + 1
             if len(seen) > 200_000:
-                yield pd.DataFrame([(t, v, n) for (t, v), n in seen.items()], columns=["token", "ruled", "n"])
+                yield pd.DataFrame({"token": common.texts(t for t, _ in seen), "ruled": common.texts(v for _, v in seen), "n": list(seen.values())})
                 seen = {}
-        yield pd.DataFrame([(t, v, n) for (t, v), n in seen.items()], columns=["token", "ruled", "n"])
+        yield pd.DataFrame({"token": common.texts(t for t, _ in seen), "ruled": common.texts(v for _, v in seen), "n": list(seen.values())})
 
     pairs = ruled.filter(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInPandas(token_counts, "token string, ruled string, n long")
     block, allow = F.coalesce(F.sum(F.when(F.col("ruled") == "block", F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("ruled") == "allow", F.col("n"))), F.lit(0))
@@ -158,7 +158,7 @@ def filter_urls(pages: DataFrame) -> DataFrame:
         for hosts, paths in batches:
             scores = [m.prior + sum(m.tokens.get(t, m.unseen) for t in tokens.of(h, p)) if h else 0.0 for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"score": [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in scores],
-                                "host_words": [" ".join(t[len(HOST):] for t in tokens[h]) for h in hosts]})
+                                "host_words": common.texts(" ".join(t[len(HOST):] for t in tokens[h]) for h in hosts)})
 
     judged = ruled.withColumn("_m", F.pandas_udf(judge, "score double, host_words string")("host", "path"))
     verdict = F.coalesce(F.col("ruled"), F.when((F.col("host") != "") & (F.col("_m.score") > 0.5), F.lit("block")).otherwise(F.lit("allow")))

@@ -63,10 +63,10 @@ def write_archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = lambda x: None if pd.isna(x) else int(x)
             held += packer.compress(record(whole(page_id), url, payload, whole(refers_to))) + packer.flush()
             while len(held) >= CHUNK:
-                yield pd.DataFrame({"archive": [name], "chunk": [chunk], "data": [bytes(held[:CHUNK])]})
+                yield pd.DataFrame({"archive": common.texts([name]), "chunk": [chunk], "data": [bytes(held[:CHUNK])]})
                 chunk, held = chunk + 1, held[CHUNK:]
     if held:
-        yield pd.DataFrame({"archive": [name], "chunk": [chunk], "data": [bytes(held)]})
+        yield pd.DataFrame({"archive": common.texts([name]), "chunk": [chunk], "data": [bytes(held)]})
 
 
 def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -108,7 +108,7 @@ def read_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_digest": object, "record_type": object, "url": object})
 
     def archives() -> Iterator[tuple[str, bytes]]:
         for batch in batches:
