@@ -32,8 +32,12 @@ def members(text: Column) -> Column:
 
 
 def as_json(raw: Column, typed: Column) -> Column:
-    """JSON text of one value, given its raw text and its variant."""
+    """JSON text of one value, given its raw text and its variant.
+
+    An object that repeats a key anywhere has no variant. Its values are then typed by their text: what is no JSON is a string.
+    """
     return (F.when(raw.isNull(), F.lit("null"))
+            .when(typed.isNull() & F.try_parse_json(raw).isNull() & F.get_json_object(raw, "$").isNull(), quote(raw))
             .when(F.schema_of_variant(typed) == "STRING", F.to_json(typed)).otherwise(raw))
 
 

@@ -171,12 +171,12 @@ def coverage(spark, sf):
 
 @query("coverage_totals", f"""{WITH_BOTH}, {COVERAGE}, {LANGUAGE_SQL} select language, count(*) as repos, cast(sum(total) as bigint) as total, cast(sum(matched) as bigint) as matched,
     cast(sum(unmatched) as bigint) as unmatched, cast(sum(sdk_endpoints) as bigint) as sdk_endpoints, cast(sum(orphans) as bigint) as orphans
-    from coverage c join languages l on l.repo_id = c.repo_id // 1000000 where language is not null group by rollup (language)""")
+    from coverage c join languages l on l.repo_id = c.repo_id // 1000000000 where language is not null group by rollup (language)""")
 def coverage_totals(spark, sf):
     mappings = py_calls.first_per_file(mapping_relation(spark, sf))
     per_repo = match.coverage(endpoint_relation(spark, sf), mappings)
     supplier = languages(spark, sf).filter("language is not null").select(F.col("repo_id").alias("supplier"), "language")
-    per_language = per_repo.withColumn("supplier", F.floor(F.col("repo_id") / 1000000)).join(supplier, "supplier").select("repo_id", "language")
+    per_language = per_repo.withColumn("supplier", F.floor(F.col("repo_id") / 1000000000)).join(supplier, "supplier").select("repo_id", "language")
     return match.coverage_totals(per_repo, per_language)
 
 

@@ -56,7 +56,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _side(spark: SparkSession, sf: str, flags: list[str]) -> DataFrame:
-    repo = F.col("l_suppkey") * 1000000 + F.floor(F.col("l_partkey") / PARTS_PER_REPO)
+    repo = F.col("l_suppkey") * 1000000000 + F.floor(F.col("l_partkey") / PARTS_PER_REPO)
     keys = (table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin(flags))
             .select(repo.alias("repo_id"), F.col("l_partkey").alias("p")).distinct())
     return keys.join(parts(spark, sf), "p")
@@ -83,7 +83,7 @@ def spec_documents(spark: SparkSession, sf: str) -> DataFrame:
     op = F.concat(F.lit('{"responses": {"200": {"content": {"application/json": {"example": {"path": "'), F.col("raw_path"), F.lit('"}}}}}}'))
     by_path = (spec_side(spark, sf).withColumn("op", op).groupBy("repo_id", "raw_path")
                .agg(_object(key="verb", value="op").alias("item")))
-    version = F.concat(F.lit('"info": {"version": "c'), F.floor(F.col("repo_id") / 1000000), F.lit('"}'))
+    version = F.concat(F.lit('"info": {"version": "c'), F.floor(F.col("repo_id") / 1000000000), F.lit('"}'))
     return (by_path.groupBy("repo_id").agg(_object(key="raw_path", value="item").alias("paths"))
             .select("repo_id", F.concat(F.lit('{"openapi": "3.0.0", '), version, F.lit(', "paths": '), F.col("paths"), F.lit("}")).alias("doc"))
             .transform(_spread))

@@ -22,10 +22,10 @@ parts as (select p_partkey as p, cast(p_size as varchar) as size, lower(p_type)
         else '/types/' || lower(p_type) || case when p_partkey % 2 = p_partkey % 3 then '/{itemID}' else '/{item_id}' end end as raw_path
   from part)"""
 SDK = """
-sdk as (select k.repo_id, parts.* from (select distinct l_suppkey * 1000000 + l_partkey // 500 as repo_id, l_partkey as p
+sdk as (select k.repo_id, parts.* from (select distinct l_suppkey * 1000000000 + l_partkey // 500 as repo_id, l_partkey as p
     from lineitem where l_returnflag in ('A', 'R')) k join parts using (p))"""
 SPEC = """
-spec as (select distinct k.repo_id, verb as http_method, http_path, raw_path from (select distinct l_suppkey * 1000000 + l_partkey // 500 as repo_id, l_partkey as p
+spec as (select distinct k.repo_id, verb as http_method, http_path, raw_path from (select distinct l_suppkey * 1000000000 + l_partkey // 500 as repo_id, l_partkey as p
     from lineitem where l_returnflag in ('A', 'N')) k join parts using (p))"""
 PY_PATH = "case when p % 2 = 0 then 'src/shop/items/raw_client.py' else 'src/shop/items/resources/extra/raw_client.py' end"
 PY_CHAIN = "case when p % 2 = 0 then 'items' else 'items.extra' end"
@@ -49,16 +49,16 @@ def entries(column):
 
 def all_files(spark, sf):
     """Client files of the three languages; a repo's supplier decides which language it is in."""
-    language = F.floor(F.col("repo_id") / 1000000) % 3
+    language = F.floor(F.col("repo_id") / 1000000000) % 3
     py = corpus.python_files(spark, sf).drop("package_root").filter(language == 0)
     return (py.unionByName(corpus.java_files(spark, sf).filter(language == 1))
             .unionByName(corpus.typescript_files(spark, sf).filter(language == 2)))
 
 
 @query("source_scan", f"""with {PARTS}, {SDK},
-    files as (select distinct repo_id, case repo_id // 1000000 % 3 when 0 then {PY_PATH} when 1 then {JAVA_PATH} else {TS_PATH} end as path from sdk
+    files as (select distinct repo_id, case repo_id // 1000000000 % 3 when 0 then {PY_PATH} when 1 then {JAVA_PATH} else {TS_PATH} end as path from sdk
       union select distinct repo_id, 'src/main/java/com/shop/' || f as path from sdk, (values ('ShopClient.java'),
-        ('resources/stockitems/StockItemsClient.java'), ('resources/stockitems/extra/ExtraClient.java')) w(f) where repo_id // 1000000 % 3 = 1)
+        ('resources/stockitems/StockItemsClient.java'), ('resources/stockitems/extra/ExtraClient.java')) w(f) where repo_id // 1000000000 % 3 = 1)
     select repo_id, path, case when path like '%.py' or path like '%/Raw%' or path like '%.ts' then 'raw' else 'wiring' end as role from files""")
 def source_scan(spark, sf):
     files = all_files(spark, sf)
@@ -288,12 +288,12 @@ def ts_chain(spark, sf):
 
 
 @query("extraction_status", f"""with {PARTS}, {SDK}
-    select repo_id, client_files, case when repo_id // 1000000 % 4 = 1 then 0 else endpoints end as endpoints,
-      case when repo_id // 1000000 % 4 = 1 then 'no_endpoints' else 'ok' end as status from (
+    select repo_id, client_files, case when repo_id // 1000000000 % 4 = 1 then 0 else endpoints end as endpoints,
+      case when repo_id // 1000000000 % 4 = 1 then 'no_endpoints' else 'ok' end as status from (
       select repo_id, count(distinct p % 2) as client_files, count(distinct {PY_PATH} || verb || http_path) as endpoints from sdk group by repo_id)""")
 def extraction_status_query(spark, sf):
     files = corpus.python_files(spark, sf)
-    drifted = F.floor(F.col("repo_id") / 1000000) % 4 == 1
+    drifted = F.floor(F.col("repo_id") / 1000000000) % 4 == 1
     changed = files.withColumn("content", F.when(drifted, F.replace("content", F.lit("httpx_client"), F.lit("http"))).otherwise(F.col("content")))
     listing = files.select("repo_id", F.rlike("path", F.lit(py_calls.FILE_PATTERN)).alias("is_client"))
     return extraction_status(listing, py_calls.python_endpoints(changed))

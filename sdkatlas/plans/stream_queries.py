@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sdkatlas.operators import contract
 from sdkatlas.plans import corpus, manifest
 from sdkatlas.plans.registry import query
 from sdkatlas.plans.render_queries import metadata_of
@@ -52,7 +51,8 @@ def refresh_query(spark, sf):
         parts = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf)
         touched = parts.select(F.floor(F.col("p_partkey") / corpus.PARTS_PER_DOC).alias("repo_id"))
         # A new checkpoint makes the second run see all arrivals again; its batches come after the first's.
-        shifted = lambda batch, batch_id, base=run * 1000: refresh.publish(batch, base + batch_id, f"{place}/store", contract_artifacts(spark, sf))
+        first = refresh.next_batch(spark, f"{place}/store")
+        shifted = lambda batch, batch_id, base=first: refresh.publish(batch, base + batch_id, f"{place}/store", contract_artifacts(spark, sf))
         (touched.writeStream.foreachBatch(shifted).option("checkpointLocation", f"{place}/stream-{run}")
          .trigger(availableNow=True).start().awaitTermination())
     return (refresh.stored(spark, f"{place}/store").groupBy("repo_id", "artifact").agg(F.count("*").alias("versions")))

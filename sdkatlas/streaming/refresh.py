@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,9 +27,18 @@ def _bucket(repo_id: str) -> Column:
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
     """Every version written so far."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(_STORED).parquet(store) if exists else spark.createDataFrame([], _STORED)
+    try:
+        return spark.read.schema(_STORED).parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _STORED)
+
+
+def next_batch(spark: SparkSession, store: str) -> int:
+    """A number above those of all batches in the store; a new stream over an old store counts from here."""
+    last = stored(spark, store).agg(F.max("batch")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def latest(versions: DataFrame) -> DataFrame:
