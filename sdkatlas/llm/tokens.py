@@ -21,7 +21,7 @@ _VISIBLE = {b: b if b in _SEEN else 256 + b - sum(x < b for x in _SEEN) for b in
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: White space beside a space, or a space at an end.
 _ODD = re.compile(r" (?:\s|\Z)|\s(?<=[^ ]) |\A ")
-KEPT = 350_000
+KEPT = 550_000
 LONGEST_KEPT = 64
 
 _encoders: dict[str, Encoder] = {}
