@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; only a local session gets one of its own."""
+    """Use the folder the session names; only a local session gets one of its own, beside its tables."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sdkatlas-checkpoint-"))
+    context.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
