@@ -192,10 +192,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unsettled_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, i, class, label, n of all members of buckets that hold several components."""
+    """band, i, class, label, n, main, n_main of all members of buckets that hold several components; main is the largest one, of n_main members."""
     joined = bands.join(labels, bands["class"] == labels["node"], "left").select("band", "i", "class", F.coalesce("label", "class").alias("label"))
     members = common.saved(joined, "members")
-    several = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("band", "n")
+    parts = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = F.max(F.struct("k", "label")).alias("main")
+    several = parts.groupBy("band").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), largest).filter("labels > 1").select("band", "n", F.col("main.label").alias("main"), F.col("main.k").alias("n_main"))
     return common.saved(members.join(several, "band"), "unsettled")
 
 
@@ -209,10 +211,15 @@ def small_bucket_pairs(rows: DataFrame) -> DataFrame:
 
 def large_bucket_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Links (a, b) between components in larger buckets. A bucket is cut into blocks of some BLOCK classes and a task sees two blocks; it
-    estimates each pair of different components, verifies the likely ones, and returns links enough to join what is linked."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    spread = many.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("p", F.least("own", "k")).withColumn("q", F.greatest("own", "k"))
+    estimates each pair of different components, verifies the likely ones, and returns links enough to join what is linked. The members of
+    the bucket's largest component have blocks of their own, which never meet each other: a hot group with a few strangers costs its own
+    size times the strangers' blocks, not its square."""
+    others, mains = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+    is_main, number = F.col("label") == F.col("main"), F.xxhash64("class")
+    own = F.when(is_main, others + F.pmod(number, mains)).otherwise(F.pmod(number, others)).cast("int")
+    met = F.when(is_main, others - 1).otherwise(others + mains - 1)
+    many = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("own", own)
+    spread = many.withColumn("k", F.explode(F.sequence(F.lit(0), met))).withColumn("p", F.least("own", "k")).withColumn("q", F.greatest("own", "k"))
     member_docs = many.select("class").distinct().join(nodes.select("class", "doc", "n_shingles", "registers"), "class")
     held = common.saved(member_docs, "large-members")
     texts = texts_of(held.select("doc"), documents)
