@@ -34,7 +34,7 @@ PERCENT = 85  # a link: 100 * intersection >= PERCENT * union
 LEAST_ESTIMATE = 0.74
 SMALL_BUCKET, BLOCK = 32, 512
 KEPT_WORDS = 500_000
-SKETCH = "doc_id long, n_shingles long, class long, check long, registers binary"
+SKETCH = "doc_id long, k0 long, k1 long, n_shingles long, class long, check long, registers binary"
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _SHIFTS = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -87,9 +87,9 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes, names = WordHashes(), [c.split()[0] for c in SKETCH.split(", ")]
     for batch in batches:
         rows = []
-        for doc_id, data in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc_id, k0, k1, data in zip(batch["doc_id"], batch["k0"], batch["k1"], batch["text"], strict=True):
             found = shingles(data, hashes)
-            rows.append((doc_id, len(found), *identity(found), registers(found).tobytes() if len(found) else None))
+            rows.append((doc_id, k0, k1, len(found), *identity(found), registers(found).tobytes() if len(found) else None))
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
@@ -117,7 +117,7 @@ def _likely(n_a: Column, n_b: Column) -> Column:
 
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose estimate may reach the threshold, with both classes' documents."""
-    side = lambda s: nodes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"), F.col("doc").alias(f"doc_{s}"))
+    side = lambda s: nodes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"), F.struct("class", "doc", "k0", "k1").alias(f"doc_{s}"))
 
     def likely(r_a: pd.Series, r_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         parts = [estimate(_matrix(r_a[i:i + 4096]), _matrix(r_b[i:i + 4096]), n_a[i:i + 4096].to_numpy(), n_b[i:i + 4096].to_numpy()) for i in range(0, len(r_a), 4096)]
@@ -127,11 +127,21 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.withColumn("e", F.pandas_udf(likely, "double")("r_a", "r_b", "n_a", "n_b")).filter(F.col("e") >= LEAST_ESTIMATE).select("a", "b", "doc_a", "doc_b")
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that name a text among those of one doc_id."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def same_row(documents: DataFrame, doc: Column, k0: Column, k1: Column) -> Column:
+    keys = text_keys(documents["text"])
+    return documents["doc_id"].eqNullSafe(doc) & (keys[0] == k0) & (keys[1] == k1)
+
+
 def texts_of(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, text (UTF-8) of the documents in `docs` (doc), saved: only these are shuffled later."""
-    needed = common.saved(docs.distinct(), "needed")
-    found = documents.join(common.small(needed), documents["doc_id"].eqNullSafe(F.col("doc")), "left_semi")
-    return common.saved(found.select("doc_id", common.utf8(F.col("text")).alias("text")).distinct(), "texts")
+    """class, text (UTF-8) of the classes in `docs` (class, doc, k0, k1), saved: only these are shuffled later."""
+    needed = common.small(common.saved(docs.distinct(), "needed"))
+    found = documents.join(needed, same_row(documents, needed["doc"], needed["k0"], needed["k1"]))
+    return common.saved(found.select("class", common.utf8(documents["text"]).alias("text")).distinct(), "texts")
 
 
 def is_link(one: np.ndarray, other: np.ndarray) -> bool:
@@ -144,10 +154,10 @@ def is_link(one: np.ndarray, other: np.ndarray) -> bool:
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links on their full sets."""
     pairs = common.saved(pairs, "pairs")
-    texts = texts_of(pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")), documents)
-    side = lambda s: texts.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
+    texts = texts_of(pairs.select("doc_a.*").union(pairs.select("doc_b.*")), documents)
+    side = lambda s: texts.select(F.col("class").alias(s), F.col("text").alias(f"text_{s}"))
     # the side with most pairs last: its rows come one after the other, and their sets are made once
-    joined = pairs.join(side("b"), "doc_b").join(side("a"), "doc_a")
+    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, kept = WordHashes(), {}
@@ -160,7 +170,7 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                         if len(kept) > 500:
                             kept.clear()
                         found = shingles(text, hashes)
-                        if identity(found)[0] != name:  # another text under the same doc_id
+                        if identity(found)[0] != name:  # another text with the same keys
                             found = None
                         else:
                             kept[name] = found
@@ -220,10 +230,10 @@ def large_bucket_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame)
     met = F.when(is_main, others - 1).otherwise(others + mains - 1)
     many = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("own", own)
     spread = many.withColumn("k", F.explode(F.sequence(F.lit(0), met))).withColumn("p", F.least("own", "k")).withColumn("q", F.greatest("own", "k"))
-    member_docs = many.select("class").distinct().join(nodes.select("class", "doc", "n_shingles", "registers"), "class")
+    member_docs = many.select("class").distinct().join(nodes.select("class", "doc", "k0", "k1", "n_shingles", "registers"), "class")
     held = common.saved(member_docs, "large-members")
-    texts = texts_of(held.select("doc"), documents)
-    members = held.join(texts, held["doc"].eqNullSafe(texts["doc_id"])).select("class", "n_shingles", "registers", "text")
+    texts = texts_of(held.select("class", "doc", "k0", "k1"), documents)
+    members = held.join(texts, "class").select("class", "n_shingles", "registers", "text")
     shown = spread.join(members, "class").select("band", "i", "p", "q", "own", "class", "label", "n_shingles", "registers", "text")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -265,13 +275,14 @@ def large_bucket_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame)
     return shown.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
-def clusters(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's sketch; and _class, label (of its component), component_id of every class."""
     rows = documents.select("doc_id", "text")
-    sketches = common.saved(rows.select("doc_id", common.utf8(F.col("text")).alias("text")).mapInPandas(sketch, SKETCH), "sketches")
+    k0, k1 = text_keys(F.col("text"))
+    sketches = common.saved(rows.select("doc_id", k0.alias("k0"), k1.alias("k1"), common.utf8(F.col("text")).alias("text")).mapInPandas(sketch, SKETCH), "sketches")
     # SQL's min of structs puts a null doc_id first, so the flag comes before it
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "registers", "n_shingles"))
-    nodes = common.saved(sketches.filter("n_shingles > 0").groupBy("class").agg(first.alias("f")).select("class", F.col("f.doc_id").alias("doc"), "f.registers", "f.n_shingles"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1", "registers", "n_shingles"))
+    nodes = common.saved(sketches.filter("n_shingles > 0").groupBy("class").agg(first.alias("f")).select("class", F.col("f.doc_id").alias("doc"), "f.k0", "f.k1", "f.registers", "f.n_shingles"), "classes")
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
     all_bands = nodes.select("class", F.posexplode(keys).alias("i", "band"))
@@ -285,7 +296,12 @@ def clusters(documents: DataFrame) -> DataFrame:
     labels = common.saved(components(links.union(more)), "labels")
     named = nodes.select("class", "doc").join(labels, F.col("class") == F.col("node"), "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     names = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_class = named.join(names, "label").select(F.col("class").alias("_class"), "component_id")
+    return sketches, named.join(names, "label").select(F.col("class").alias("_class"), "label", "component_id")
+
+
+def clusters(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    sketches, of_class = grouped(documents)
     joined = sketches.select("doc_id", "n_shingles", "class").join(of_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -295,9 +311,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns; rows with the doc_id of a kept document are that document."""
-    gone = common.small(common.saved(near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "copies"))
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    """One row of each component, with its own columns: that of the least doc_id, null last. Rows without words all stay. Rows are told apart by
+    doc_id and text, so a null or repeated doc_id loses no other text; of rows equal in both, any one stays."""
+    sketches, of_class = grouped(documents)
+    told = sketches.filter("n_shingles > 0").join(of_class, F.col("class") == F.col("_class"))
+    own = common.saved(told.groupBy("label", "doc_id", "k0", "k1").agg(F.count(F.lit(1)).alias("n")), "component-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")).alias("first")
+    several = own.groupBy("label").agg(F.sum("n").alias("of"), first).filter("of > 1").select("label", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k0") == F.col("first.k0")) & (F.col("k1") == F.col("first.k1"))
+    judged = own.join(common.small(common.saved(several, "components")), "label").select("doc_id", "k0", "k1", "n", stays.alias("stays"))
+    judged = common.saved(judged.filter("not stays or n > 1"), "copies")
+    matches = lambda r: same_row(documents, r["doc_id"], r["k0"], r["k1"])
+    gone = common.small(judged.select("doc_id", "k0", "k1"))
+    kept = documents.join(gone, matches(gone), "left_anti")
+    repeated = judged.filter("stays").select("doc_id", "k0", "k1")
+    if repeated.isEmpty():
+        return kept
+    repeated = common.small(repeated)
+    return kept.union(documents.join(repeated, matches(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

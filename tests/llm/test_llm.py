@@ -292,6 +292,18 @@ def test_near_duplicates_odd_rows(odd):
     assert setsketch.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_decides_by_row(spark):
+    """A null or repeated doc_id loses no text of its own, and one row stays of each group, also of equal rows and of rows without an id."""
+    text = lambda name, edits=0: " ".join(f"{name}{i}" if i >= edits else f"edit{i}" for i in range(200))
+    docs = [(1, text("a")), (None, text("a", 1)), (None, text("own")), (2, text("b")), (3, text("b", 2)), (3, text("c")), (4, text("d")), (4, text("d")),
+            (None, text("e")), (None, text("e")), (None, text("e", 1)), (5, None), (5, ""), (None, None), (None, None)]
+    found = setsketch.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    kept = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    of_e = [d for d in kept if d[1] and d[1].endswith("e199")]
+    assert len(of_e) == 1 and of_e[0][0] is None and kept.pop(of_e[0]) == 1
+    assert kept == Counter([(1, text("a")), (None, text("own")), (2, text("b")), (3, text("c")), (4, text("d")), (5, None), (5, ""), (None, None), (None, None)])
+
+
 def test_estimate():
     hashes = setsketch.WordHashes()
     for shared in (300, 700, 900):
