@@ -1,13 +1,15 @@
 """LM scoring: a log-bilinear model fitted with noise-contrastive estimation, over word counts of the whole training corpus.
 
-Symbols are the FREQUENT commonest tokens and CLASSES classes of other words (by their last two bytes). The log-bilinear model predicts the next
+Symbols are the commonest tokens and classes of other words (by their last two bytes): FREQUENT and CLASSES at least, growing with the cube root
+of the number of distinct words (the table of normalisers grows with the square of the symbols). The log-bilinear model predicts the next
 symbol from the two before it; the normaliser of every pair of symbols is computed once by batched matrix products, so a token costs three look-ups.
 A word outside the frequent ones has the probability of its class times its share in it: (c + 0.1) / (sum of (c + 0.1) in the class + 0.1), where the
 last 0.1 is for any word not seen. So all probabilities sum to one.
 
 Counts, class sums and the base score are over all training documents. The TOP commonest words go to the tasks in a broadcast of bounded size;
-other words are joined with their counts by a shuffle, in which no word is frequent. The network's weights are fitted on a bounded sample of
-windows (EXAMPLES, drawn evenly from all training documents).
+other words are joined with their counts by a shuffle, in which no word is frequent. The network is fitted on all windows of all training
+documents, as counts of distinct (before-before, before, next) symbols. These are dealt to shards by their hash; in each of EPOCHS rounds every
+shard is trained from the same weights, and the weights are merged by the shards' counts.
 
 Null and empty texts are the end token only. Repeated rows count as often as they occur. An empty training set has N = 0, V = 0.
 """
@@ -29,7 +31,9 @@ from sdkatlas.llm import common
 
 ADD = 0.1
 FREQUENT, CLASSES, TOP = 768, 255, 150_000
-EXAMPLES, DIMENSIONS, NOISE, EPOCHS, BATCH, LEARN = 600_000, 24, 96, 3, 2048, 0.15
+GROWTH = 10.0  # symbols by the cube root of the number of distinct words
+SHARD, FLUSH_WINDOWS, ROWS = 2_000_000, 1_000_000, 64  # windows of a shard, windows counted before they are passed on, symbols merged together
+DIMENSIONS, NOISE, EPOCHS, BATCH, LEARN = 24, 96, 3, 2048, 0.15
 END = b"\n"  # no word holds white space
 FLUSH = 400_000  # words that a task counts before it passes them on
 LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, parts double, rare array<struct<word:binary,n:int>>"
@@ -43,10 +47,12 @@ class Vocabulary:
     tokens: int  # N
     distinct: int  # V
     class_logs: np.ndarray  # log10 of what the class sums to, by symbol; 0 for frequent ones
+    frequent: int
+    classes: int
 
     @property
     def size(self) -> int:
-        return FREQUENT + CLASSES + 1
+        return self.frequent + self.classes + 1
 
     @property
     def total_log(self) -> float:
@@ -62,8 +68,15 @@ class Network:
     norm: np.ndarray  # natural log of the normaliser, [before, the one before that]
 
 
-def class_of(word: bytes) -> int:
-    return FREQUENT + zlib.crc32(word[-2:]) % CLASSES
+def class_of(word: bytes, frequent: int, classes: int) -> int:
+    return frequent + zlib.crc32(word[-2:]) % classes
+
+
+def symbol_numbers(distinct: int) -> tuple[int, int]:
+    """How many frequent words and classes for so many distinct words."""
+    grown = round(GROWTH * distinct ** (1 / 3))
+    classes = max(CLASSES, grown // 4)
+    return max(FREQUENT, grown - classes), classes
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,17 +97,19 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
     words = [bytes(r[0]) for r in top]
+    frequent, classes = symbol_numbers(distinct)
     suffix = F.when(F.length("word") < 2, F.col("word")).otherwise(F.col("word").substr(F.length("word") - 1, F.lit(2)))
-    masses = counts.groupBy((F.crc32(suffix) % CLASSES).alias("c")).agg(F.sum(F.col("n") + ADD)).collect()
-    mass = np.zeros(FREQUENT + CLASSES + 1)
+    masses = counts.groupBy((F.crc32(suffix) % classes).alias("c")).agg(F.sum(F.col("n") + ADD)).collect()
+    mass = np.zeros(frequent + classes + 1)
     for c, m in masses:
-        mass[FREQUENT + c] = m
-    for word, row in zip(words[:FREQUENT], top, strict=False):
-        mass[class_of(word)] -= row[1] + ADD
-    mass[FREQUENT:] = np.maximum(mass[FREQUENT:], 0) + ADD
+        mass[frequent + c] = m
+    for word, row in zip(words[:frequent], top, strict=False):
+        mass[class_of(word, frequent, classes)] -= row[1] + ADD
+    mass[frequent:] = np.maximum(mass[frequent:], 0) + ADD
     logs = np.log10(np.array([r[1] for r in top] or [1.0]) + ADD)
-    symbols = np.array([i if i < FREQUENT else class_of(w) for i, w in enumerate(words)] or [0], dtype=np.int32)
-    return Vocabulary({w: i for i, w in enumerate(words)}, logs, symbols, int(tokens), int(distinct), np.r_[np.zeros(FREQUENT), np.log10(mass[FREQUENT:])])
+    symbols = np.array([i if i < frequent else class_of(w, frequent, classes) for i, w in enumerate(words)] or [0], dtype=np.int32)
+    class_logs = np.r_[np.zeros(frequent), np.log10(mass[frequent:])]
+    return Vocabulary({w: i for i, w in enumerate(words)}, logs, symbols, int(tokens), int(distinct), class_logs, frequent, classes)
 
 
 def symbols_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -103,19 +118,38 @@ def symbols_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     places = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
     symbols = v.symbols[places]
     for i in np.flatnonzero(places < 0).tolist():
-        symbols[i] = class_of(words[i])
+        symbols[i] = class_of(words[i], v.frequent, v.classes)
     return places, symbols
 
 
-def fit(windows: np.ndarray, size: int, seed: int = 7) -> Network:
-    """windows: rows (the one before that, before, next) of symbols. Noise-contrastive estimation with shared noise in each batch, Adagrad."""
-    rng = np.random.default_rng(seed)
-    unigram = np.bincount(windows[:, 2], minlength=size) + 0.5 if len(windows) else np.ones(size)
-    noise = unigram / unigram.sum()
-    log_noise = np.log(noise)
-    w = {"r": rng.normal(0, 0.1, (size, DIMENSIONS)), "c": np.ones((2, DIMENSIONS)), "q": rng.normal(0, 0.1, (size, DIMENSIONS)), "b": log_noise.copy()}
-    w = {k: x.astype(np.float32) for k, x in w.items()}
-    grown = {k: np.full_like(x, 1e-2) for k, x in w.items()}
+def first_state(log_noise: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights and Adagrad's sums as one matrix: a row for each symbol (r, q, b, then their sums) and a last one for c."""
+    rng, size = np.random.default_rng(seed), len(log_noise)
+    state = np.zeros((size + 1, 2 * (2 * DIMENSIONS + 1)), dtype=np.float32)
+    state[:size, :DIMENSIONS], state[:size, DIMENSIONS:2 * DIMENSIONS] = rng.normal(0, 0.1, (size, DIMENSIONS)), rng.normal(0, 0.1, (size, DIMENSIONS))
+    state[:size, 2 * DIMENSIONS], state[size, :2 * DIMENSIONS], state[:, 2 * DIMENSIONS + 1:] = log_noise, 1.0, 1e-2
+    return state
+
+
+def parts_of(state: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The weights and Adagrad's sums, as own arrays."""
+    d, half = DIMENSIONS, state.shape[1] // 2
+    cut = lambda m: {"r": m[:-1, :d].copy(), "c": m[-1, :2 * d].reshape(2, d).copy(), "q": m[:-1, d:2 * d].copy(), "b": m[:-1, 2 * d].copy()}
+    return cut(state[:, :half]), cut(state[:, half:])
+
+
+def trained(state: np.ndarray, log_noise: np.ndarray, windows: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """One pass over windows (rows of the one before that, before, next) that occur `counts` times: noise-contrastive estimation with shared
+    noise in each batch, Adagrad. A window of more than twice the mean count is dealt to several batches, so that none outweighs its batch."""
+    if not len(windows):
+        return state
+    rng, size = np.random.default_rng(seed), len(log_noise)
+    cumulative = np.cumsum(np.exp(log_noise))
+    times = np.ceil(counts / (2 * counts.mean())).astype(np.int64)
+    order = rng.permutation(np.repeat(np.arange(len(windows)), times))
+    weights = counts / times
+    mean = counts.sum() / len(order)
+    w, grown = parts_of(state)
 
     def move(key: str, at: np.ndarray | slice, gradient: np.ndarray) -> None:
         if isinstance(at, np.ndarray):  # sum what falls on the same row
@@ -125,30 +159,155 @@ def fit(windows: np.ndarray, size: int, seed: int = 7) -> Network:
         grown[key][at] += gradient**2
         w[key][at] += LEARN * gradient / np.sqrt(grown[key][at])
 
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(windows))
-        for start in range(0, len(order), BATCH):
-            far, near, target = windows[order[start:start + BATCH]].T
-            n = len(target)
-            others = rng.choice(size, NOISE, p=noise)
-            r_near, r_far = w["r"][near], w["r"][far]
-            context = r_near * w["c"][0] + r_far * w["c"][1]
-            true = (context * w["q"][target]).sum(1) + w["b"][target] - np.log(NOISE) - log_noise[target]
-            false = context @ w["q"][others].T + w["b"][others] - np.log(NOISE) - log_noise[others]
-            g_true = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / n
-            g_false = -(1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) / n
-            back = g_true[:, None] * w["q"][target] + g_false @ w["q"][others]
-            move("q", np.r_[target, others], np.r_[g_true[:, None] * context, g_false.T @ context])
-            move("b", np.r_[target, others], np.r_[g_true, g_false.sum(0)])
-            move("r", np.r_[near, far], np.r_[back * w["c"][0], back * w["c"][1]])
-            move("c", slice(None), np.stack([(back * r_near).sum(0), (back * r_far).sum(0)]))
-    near, far = w["r"] * w["c"][0], w["r"] * w["c"][1]
-    norm = np.empty((size, size), dtype=np.float32)
-    for i in range(size):  # all pairs whose nearer symbol is i
-        scores = (near[i] + far) @ w["q"].T + w["b"]
+    for start in range(0, len(order), BATCH):
+        rows = order[start:start + BATCH]
+        far, near, target = windows[rows].T
+        share = (weights[rows] / (mean * len(rows))).astype(np.float32)
+        others = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), size - 1)
+        r_near, r_far = w["r"][near], w["r"][far]
+        context = r_near * w["c"][0] + r_far * w["c"][1]
+        true = (context * w["q"][target]).sum(1) + w["b"][target] - np.log(NOISE) - log_noise[target]
+        false = context @ w["q"][others].T + w["b"][others] - np.log(NOISE) - log_noise[others]
+        g_true = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) * share
+        g_false = -(1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) * share[:, None]
+        back = g_true[:, None] * w["q"][target] + g_false @ w["q"][others]
+        move("q", np.r_[target, others], np.r_[g_true[:, None] * context, g_false.T @ context])
+        move("b", np.r_[target, others], np.r_[g_true, g_false.sum(0)])
+        move("r", np.r_[near, far], np.r_[back * w["c"][0], back * w["c"][1]])
+        move("c", slice(None), np.stack([(back * r_near).sum(0), (back * r_far).sum(0)]))
+    half, d = state.shape[1] // 2, DIMENSIONS
+    out = state.copy()
+    for part, at in ((w, 0), (grown, half)):
+        out[:-1, at:at + d], out[:-1, at + d:at + 2 * d], out[:-1, at + 2 * d], out[-1, at:at + 2 * d] = part["r"], part["q"], part["b"], part["c"].ravel()
+    return out
+
+
+def noise_of(unigram: np.ndarray) -> np.ndarray:
+    """Natural logs of the noise distribution, from the symbols' counts."""
+    smoothed = unigram + 0.5
+    return np.log(smoothed / smoothed.sum())
+
+
+def normalisers(w: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
+    """Natural logs of the normalisers of all pairs whose nearer symbol is in `near`."""
+    norm, far_of = np.empty((len(near), len(w["b"])), dtype=np.float32), w["r"] * w["c"][1]
+    for k, i in enumerate(near):
+        scores = (w["r"][i] * w["c"][0] + far_of) @ w["q"].T + w["b"]
         top = scores.max(1)
-        norm[i] = top + np.log(np.exp(scores - top[:, None]).sum(1))
-    return Network(near, far, w["q"], w["b"], norm)
+        norm[k] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+    return norm
+
+
+def network_of(w: dict[str, np.ndarray], norm: np.ndarray) -> Network:
+    return Network(w["r"] * w["c"][0], w["r"] * w["c"][1], w["q"], w["b"], norm)
+
+
+def fit(windows: np.ndarray, size: int, seed: int = 7) -> Network:
+    """The network of windows that are all here, each counted once: EPOCHS rounds of a single shard."""
+    log_noise = noise_of(np.bincount(windows[:, 2], minlength=size) if len(windows) else np.zeros(size))
+    state = first_state(log_noise, seed)
+    for k in range(EPOCHS):
+        state = trained(state, log_noise, windows, np.ones(len(windows)), seed + k)
+    w = parts_of(state)[0]
+    return network_of(w, normalisers(w, np.arange(size)))
+
+
+def split_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([codes // (size * size), codes // size % size, codes % size], axis=1)
+
+
+def window_counts(training: DataFrame, shared, start: int) -> DataFrame:
+    """window ((far * size + near) * size + next), n: over all windows of all training documents."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, held, many = shared.value, [], 0
+
+        def summed() -> pd.DataFrame:
+            codes, n = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
+            return pd.DataFrame({"window": codes, "n": n.astype(np.int64)})
+
+        for batch in batches:
+            for data in batch["text"]:
+                far, near, target = windows_of(symbols_of([*data.lower().split(), END], v)[1], start).astype(np.int64).T
+                held.append((far * v.size + near) * v.size + target)
+                many += len(target)
+                if many >= FLUSH_WINDOWS:
+                    yield summed()
+                    held, many = [], 0
+        yield summed()
+
+    return training.mapInPandas(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+
+
+def fit_table(training: DataFrame, shared) -> Network:
+    """The network of all training documents' windows. What a shard holds is bounded, their number grows with the tokens."""
+    spark, v = training.sparkSession, shared.value
+    size = v.size
+    shards = max(1, -(-v.tokens // SHARD))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("window")
+        # differences of sorted windows, which compress well
+        return pd.DataFrame({"shard": group["shard"].iloc[:1].to_numpy(), "windows": [np.diff(group["window"].to_numpy(), prepend=0).astype("<i8").tobytes()], "counts": [group["n"].to_numpy().astype("<i8").tobytes()]})
+
+    rows = window_counts(training, shared, size - 1).withColumn("shard", F.pmod(F.xxhash64("window", F.lit("shard")), F.lit(shards)).cast("int"))
+    packed = common.saved(rows.groupBy("shard").applyInPandas(pack, "shard int, windows binary, counts binary"), "lm-windows")
+
+    def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(np.frombuffer(row.windows, "<i8")), np.frombuffer(row.counts, "<i8")
+
+    def count_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(size)
+        for batch in batches:
+            for row in batch.itertuples():
+                codes, n = unpacked(row)
+                sums += np.bincount(codes % size, weights=n, minlength=size)
+        yield pd.DataFrame({"symbol": np.arange(size), "n": sums})
+
+    unigram = np.zeros(size)
+    for symbol, n in packed.mapInPandas(count_next, "symbol long, n double").groupBy("symbol").agg(F.sum("n")).collect():
+        unigram[symbol] = n
+    log_noise = noise_of(unigram)
+    state = first_state(log_noise)
+    width, blocks = state.shape[1], -(-(size + 1) // ROWS)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        total = sum(np.frombuffer(x, "<f4").astype(np.float64) * m for x, m in zip(group["part"], group["mass"], strict=True))
+        return pd.DataFrame({"block": group["block"].iloc[:1].to_numpy(), "part": [(total / group["mass"].sum()).astype("<f4").tobytes()]})
+
+    for k in range(EPOCHS):
+        now = spark.sparkContext.broadcast(state)
+
+        def train(batches: Iterator[pd.DataFrame], now=now, k=k) -> Iterator[pd.DataFrame]:
+            total, mass, first = None, 0.0, 0
+            for batch in batches:
+                for row in batch.itertuples():
+                    codes, n = unpacked(row)
+                    found = trained(now.value, log_noise, split_codes(codes, size), n.astype(np.float64), 1000 * k + 7 + row.shard).astype(np.float64) * n.sum()
+                    first = row.shard if total is None else min(first, row.shard)
+                    total, mass = found if total is None else total + found, mass + n.sum()
+            if total is not None:
+                mean = (total / mass).astype("<f4")
+                yield pd.DataFrame({"block": np.arange(blocks), "shard": first, "mass": mass, "part": [mean[i * ROWS:(i + 1) * ROWS].tobytes() for i in range(blocks)]})
+
+        parts = packed.mapInPandas(train, "block int, shard int, mass double, part binary")
+        merged = parts.groupBy("block").applyInPandas(merge, "block int, part binary").collect()
+        if merged:
+            state = np.concatenate([np.frombuffer(bytes(r[1]), "<f4") for r in sorted(merged)]).reshape(-1, width)
+        now.unpersist()
+    w = parts_of(state)[0]
+    sent = spark.sparkContext.broadcast(w)
+
+    def normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"].tolist():
+                yield pd.DataFrame({"id": [i], "norm": [normalisers(sent.value, np.array([i]))[0].tobytes()]})
+
+    made = spark.range(0, size, 1, max(1, size // ROWS)).mapInPandas(normalise, "id long, norm binary").collect()
+    norm = np.empty((size, size), dtype=np.float32)
+    for i, data in made:
+        norm[i] = np.frombuffer(bytes(data), np.float32)
+    return network_of(w, norm)
 
 
 def windows_of(symbols: np.ndarray, start: int) -> np.ndarray:
@@ -169,27 +328,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     counts = common.saved(training.mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     v = vocabulary(counts)
     shared, start = spark.sparkContext.broadcast(v), v.size - 1
-    share = min(1.0, EXAMPLES / max(1, v.tokens))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for data in batch["text"]:
-                rng = np.random.default_rng(zlib.crc32(data))
-                words = [*data.lower().split(), END]
-                n = rng.binomial(len(words), share)
-                if n:
-                    at = np.sort(rng.choice(len(words), n, replace=False))
-                    near = sorted({j for i in at.tolist() for j in (i - 2, i - 1, i) if j >= 0})
-                    place = {j: k for k, j in enumerate(near)}
-                    found = symbols_of([words[j] for j in near], shared.value)[1]
-                    out += [(found[place[i - 2]] if i > 1 else start, found[place[i - 1]] if i else start, found[place[i]]) for i in at.tolist()]
-            yield pd.DataFrame({"windows": [np.array(out, dtype="<u2").tobytes()]})
-
-    drawn = training.mapInPandas(draw, "windows binary").collect()
-    sample = np.concatenate([np.frombuffer(bytes(r[0]), "<u2") for r in drawn] or [np.zeros(0, "<u2")]).reshape(-1, 3).astype(np.int64)
-    sample = sample[np.lexsort(sample.T)]  # the same order whichever task came first
-    network = spark.sparkContext.broadcast(fit(sample, v.size))
+    network = spark.sparkContext.broadcast(fit_table(training, shared))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary_, net, row = shared.value, network.value, TaskContext.get().partitionId() << 33
@@ -204,7 +343,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
                     places[:] = -1
                 known = places >= 0
                 logs = vocabulary_.logs[places[known]]
-                classed = symbols >= FREQUENT
+                classed = symbols >= vocabulary_.frequent
                 parts = log10_probabilities(symbols, net, start).sum() - vocabulary_.class_logs[symbols[classed]].sum() + logs[classed[known]].sum()
                 rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
                 rows.append((row, doc_id, held_out, len(words), int(known.sum()), logs.sum(), parts, [{"word": w, "n": n} for w, n in rare.items()]))

@@ -211,6 +211,23 @@ def test_lm(odd, spark):
     assert lm.score_documents(odd).count() == len(ODD)
 
 
+def test_lm_counts_every_window(spark, monkeypatch):
+    """All windows of all rows count, of copies too; and symbols grow with the words."""
+    monkeypatch.setattr(lm, "FLUSH_WINDOWS", 50)
+    texts = ["a b c a b", "a b c a b", "", "c a", *("a b c a b" for _ in range(30))]
+    common.table(spark, SF, "documents")
+    training = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    words = Counter(w for t in texts for w in [*t.encode().split(), lm.END])
+    v = lm.vocabulary(spark.createDataFrame(list(words.items()), "word binary, n long"))
+    expected = Counter()
+    for t in texts:
+        s = lm.symbols_of([*t.encode().split(), lm.END], v)[1].tolist()
+        expected.update(zip([v.size - 1, v.size - 1, *s], [v.size - 1, *s], s))
+    found = lm.window_counts(training, spark.sparkContext.broadcast(v), v.size - 1).toPandas()
+    assert {tuple(w): n for w, n in zip(lm.split_codes(found["window"].to_numpy(), v.size).tolist(), found["n"])} == dict(expected)
+    assert sum(lm.symbol_numbers(10)) == lm.FREQUENT + lm.CLASSES < sum(lm.symbol_numbers(10**7)) < sum(lm.symbol_numbers(10**8))
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     network = lm.fit(rng.integers(0, 12, (3000, 3)), 12)
