@@ -1,8 +1,8 @@
 """URL filters: rules first, then host words by unigram Viterbi and multinomial naive Bayes over host and path tokens.
 
 Host labels are concatenated words. Word counts come from the text of all pages; the Viterbi search splits a label into the likeliest words,
-unknown stretches costing more the longer they are. Naive Bayes learns from the pages that a rule decides, and from a short list of words
-(SEEDS) that a block or allow list would name; it judges the pages that no rule fits.
+unknown stretches costing more the longer they are. Naive Bayes learns from the pages that a rule decides, and from nothing
+else; it judges the pages that no rule fits. All words and all tokens count: those outside the broadcast ones are joined by a shuffle.
 
 Null url or one without `://`: empty host and path, no rule, verdict allow. Ties of naive Bayes are allow. Empty table: empty result.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,22 +23,20 @@ from sdkatlas.llm import common
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Words that count as SEED_WEIGHT pages of their class each.
-SEEDS = {"block": ("adult", "xxx", "porn", "sex", "casino", "bet", "poker", "pills", "cheap", "viagra", "replica", "loan", "warez", "spam", "ads", "track"), "allow": ("blog", "news", "wiki", "docs", "edu")}
-SEED_WEIGHT = 200.0
-VOCABULARY = 50_000  # words kept for the search, the commonest; the list is broadcast, 2 MB at most
+VOCABULARY = 50_000  # the commonest words, which are broadcast for the search (2 MB at most); others are joined with the parts of hosts
 LONGEST_WORD = 24
-TOKENS_KEPT = 100_000  # tokens with counts by class, the commonest
+TOKENS_KEPT = 100_000  # the commonest tokens, which are broadcast with their odds; others are joined with the pages' tokens
+HOSTS_SENT = 200_000  # a table of at most this many hosts may be broadcast
 HOST, PATH = "host:", "path:"
 SPLIT = re.compile(r"[^a-z0-9\x80-\U0010ffff]+")
 
 
 @dataclass
 class Model:
-    words: dict[str, float]  # log10 probabilities
-    tokens: dict[str, float]  # log odds of block
+    tokens: dict[str, float]  # log odds of block, of the commonest tokens
     prior: float
     unseen: float
+    whole: bool  # no other token has counts
 
 
 def parts(url: str) -> tuple[Column, Column]:
@@ -95,74 +94,123 @@ def segment(label: str, words: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-class Tokens(dict):
-    """host -> its tokens, kept in a table of bounded size."""
+def labels_of(host: str) -> list[str]:
+    return [p for p in SPLIT.split(host.rpartition(".")[0] or host) if p]  # the top-level domain says no word
 
-    def __init__(self, words: dict[str, float]):
-        self.words = words
 
-    def __missing__(self, host: str) -> list[str]:
-        if len(self) > 50_000:
-            self.clear()
-        labels = [p for p in SPLIT.split(host.rpartition(".")[0] or host) if p]  # the top-level domain says no word
-        found = self[host] = [HOST + w for label in labels for w in segment(label[:2048], self.words)]
-        return found
+def tokens_of(host_words: str, path: str) -> set[str]:
+    return {*(HOST + w for w in host_words.split()), *(PATH + p for p in SPLIT.split(path.lower()) if p)}
 
-    def of(self, host: str, path: str) -> set[str]:
-        return {*self[host], *(PATH + p for p in SPLIT.split(path.lower()) if len(p) > 2 and not p.isdigit())}  # en, fr, de: places, no words
 
-
-def fit(spark: SparkSession, pages: DataFrame, ruled: DataFrame) -> Model:
-    """Counts over all pages; the commonest words and tokens come to the driver, VOCABULARY and TOKENS_KEPT at most."""
+def host_table(pages: DataFrame, ruled: DataFrame) -> DataFrame:
+    """host, host_words (saved) of all distinct hosts. Words outside the broadcast VOCABULARY are joined with the parts of hosts."""
+    spark = pages.sparkSession
     counts = common.saved(page_words(pages), "page-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = {r["word"]: math.log10((r["n"]) / total) for r in top if len(r["word"]) > 1 or r["n"] > 0.001 * total}
-    for seed in [*SEEDS["block"], *SEEDS["allow"], "www", "com", "org", "net", "example"]:
-        words.setdefault(seed, -5.0)
-    shared = spark.sparkContext.broadcast(words)
-
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    counts = counts.filter((F.length("word") > 1) | (F.col("n") > 0.001 * total))
+    head = {r["word"]: math.log10(r["n"] / total) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
+    for word in ("www", "com", "org", "net"):
+        head.setdefault(word, -5.0)
+    shared = spark.sparkContext.broadcast(head)
+    hosts = ruled.select("host").distinct()
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[int, str]] = []
+            for k, host in zip(batch["k"], batch["host"], strict=True):
+                seen = set()
+                for label in labels_of(host):
+                    for start in range(len(label)):
+                        for end in range(start + 1, min(start + LONGEST_WORD, len(label)) + 1):
+                            part = label[start:end]
+                            if not "a" <= part[-1] <= "z":
+                                break
+                            if part not in seen and part not in shared.value:
+                                seen.add(part)
+                                out.append((k, part))
+                    if len(out) > 200_000:
+                        yield pd.DataFrame({"k": [x[0] for x in out], "word": common.texts(x[1] for x in out)})
+                        out = []
+            yield pd.DataFrame({"k": pd.Series([x[0] for x in out], dtype="int64"), "word": common.texts(x[1] for x in out)})
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for host, found in zip(batch["host"], batch["found"], strict=True):
+                own = {x["word"]: math.log10(x["n"] / total) for x in found} if found is not None else {}
+                words = ChainMap(own, shared.value) if own else shared.value
+                out.append(" ".join(w for label in labels_of(host) for w in segment(label, words)))
+            yield pd.DataFrame({"host": batch["host"], "host_words": common.texts(out)})
+
+    rows = common.saved(hosts.withColumn("k", F.monotonically_increasing_id()), "hosts")
+    nothing = F.lit(None).cast("array<struct<word:string,n:bigint>>").alias("found")
+    if distinct > VOCABULARY:
+        met = rows.mapInPandas(candidates, "k long, word string").join(counts, "word").groupBy("k").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+        rows = rows.join(met, "k", "left").select("host", "found")
+    else:
+        rows = rows.select("host", nothing)
+    return common.saved(rows.mapInPandas(split, "host string, host_words string"), "host-words")
+
+
+def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """From host_words, path, ruled: the model, of which TOKENS_KEPT tokens come to the driver, and token, odds of all tokens. Class sums and
+    the number of tokens are over the whole table."""
     def token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, seen = Tokens(shared.value), {}
+        seen: dict[tuple[str, str], int] = {}
         for batch in batches:
-            for host, path, verdict in zip(batch["host"], batch["path"], batch["ruled"], strict=True):
-                for token in [*tokens.of(host, path), ""]:  # the empty token counts pages
+            for words, path, verdict in zip(batch["host_words"], batch["path"], batch["ruled"], strict=True):
+                for token in [*tokens_of(words, path), ""]:  # the empty token counts pages
                     seen[token, verdict] = seen.get((token, verdict), 0) + 1
             if len(seen) > 200_000:
                 yield pd.DataFrame({"token": common.texts(t for t, _ in seen), "ruled": common.texts(v for _, v in seen), "n": list(seen.values())})
                 seen = {}
         yield pd.DataFrame({"token": common.texts(t for t, _ in seen), "ruled": common.texts(v for _, v in seen), "n": list(seen.values())})
 
-    pairs = ruled.filter(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInPandas(token_counts, "token string, ruled string, n long")
-    block, allow = F.coalesce(F.sum(F.when(F.col("ruled") == "block", F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("ruled") == "allow", F.col("n"))), F.lit(0))
-    table = pairs.groupBy("token").agg(block.alias("block"), allow.alias("allow")).orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(TOKENS_KEPT).collect()
-    found = {r["token"]: [float(r["block"]), float(r["allow"])] for r in table}
-    pages_of = found.pop("", [0.0, 0.0])
-    for k, verdict in enumerate(("block", "allow")):
-        for seed in SEEDS[verdict]:
-            for kind in (HOST, PATH):
-                found.setdefault(kind + seed, [0.0, 0.0])[k] += SEED_WEIGHT
-    sums = [sum(v[k] for v in found.values()) + len(found) + 1 for k in (0, 1)]
-    odds = {t: math.log((b + 1) / sums[0]) - math.log((a + 1) / sums[1]) for t, (b, a) in found.items()}
-    return Model(words, odds, math.log(pages_of[0] + 1) - math.log(pages_of[1] + 1), math.log(sums[1]) - math.log(sums[0]))
+    pairs = rows.filter(F.col("ruled").isNotNull()).select("host_words", "path", "ruled").mapInPandas(token_counts, "token string, ruled string, n long")
+    sum_of = lambda verdict: F.coalesce(F.sum(F.when(F.col("ruled") == verdict, F.col("n"))), F.lit(0)).cast("double").alias(verdict)
+    table = pairs.groupBy("token").agg(sum_of("block"), sum_of("allow"))
+    table = common.saved(table, "url-tokens")
+    pages_of = table.filter("token = ''").first()
+    table = table.filter("token <> ''")
+    distinct, *sums = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0.0)), F.coalesce(F.sum("allow"), F.lit(0.0))).first()
+    sums = [x + distinct + 1 for x in sums]
+    unseen = math.log(sums[1]) - math.log(sums[0])
+    odds = table.withColumn("odds", F.log(F.col("block") + 1) - F.log(F.col("allow") + 1) + F.lit(unseen))
+    head = odds.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(TOKENS_KEPT).select("token", "odds").collect()
+    prior = math.log(pages_of["block"] + 1) - math.log(pages_of["allow"] + 1) if pages_of else 0.0
+    return Model({r["token"]: r["odds"] for r in head}, prior, unseen, distinct <= TOKENS_KEPT), odds.select("token", "odds")
 
 
 def filter_urls(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     ruled = with_rules(pages)
-    model = spark.sparkContext.broadcast(fit(spark, pages, ruled))
+    hosts = common.small(host_table(pages, ruled), HOSTS_SENT)
+    rows = common.saved(ruled.join(hosts, "host").withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    fitted, odds = fit(rows)
+    model = spark.sparkContext.broadcast(fitted)
 
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = model.value
-        tokens = Tokens(m.words)
-        for hosts, paths in batches:
-            scores = [m.prior + sum(m.tokens.get(t, m.unseen) for t in tokens.of(h, p)) if h else 0.0 for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame({"score": [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in scores],
-                                "host_words": common.texts(" ".join(t[len(HOST):] for t in tokens[h]) for h in hosts)})
-
-    judged = ruled.withColumn("_m", F.pandas_udf(judge, "score double, host_words string")("host", "path"))
-    verdict = F.coalesce(F.col("ruled"), F.when((F.col("host") != "") & (F.col("_m.score") > 0.5), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("_m.score").alias("score"), F.col("_m.host_words").alias("host_words"))
+        for words, paths in batches:
+            logs, rare = [], []
+            for w, p in zip(words, paths, strict=True):
+                tokens = sorted(tokens_of(w, p))
+                logs.append(m.prior + sum(m.tokens.get(t, m.unseen if m.whole else 0.0) for t in tokens))
+                rare.append([] if m.whole else [t for t in tokens if t not in m.tokens])
+            yield pd.DataFrame({"log": logs, "rare": rare})
+
+    judged = rows.withColumn("_m", F.pandas_udf(judge, "log double, rare array<string>")("host_words", "path")).select("*", "_m.log", "_m.rare").drop("_m")
+    if fitted.whole:
+        logs = judged.withColumn("all", F.col("log"))
+    else:
+        judged = common.saved(judged, "url-judged")
+        rare = judged.select("row", F.explode("rare").alias("token")).join(odds, "token", "left")
+        rare_logs = rare.groupBy("row").agg(F.sum(F.coalesce("odds", F.lit(fitted.unseen))).alias("more"))
+        logs = judged.join(rare_logs, "row", "left").withColumn("all", F.col("log") + F.coalesce("more", F.lit(0.0)))
+    bounded = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.when(F.col("host") != "", F.col("all")).otherwise(0.0)))
+    scored = logs.withColumn("score", 1 / (1 + F.exp(-bounded)))
+    verdict = F.coalesce(F.col("ruled"), F.when((F.col("host") != "") & (F.col("score") > 0.5), F.lit("block")).otherwise(F.lit("allow")))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "host_words")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

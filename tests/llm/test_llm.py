@@ -162,6 +162,28 @@ def test_urls(spark):
     assert (found[99]["host"], found[99]["verdict"]) == ("", "allow")
 
 
+def test_urls_have_no_cut(spark, monkeypatch):
+    """Words and tokens outside the broadcast ones judge alike, long labels and short path tokens included."""
+    common.table(spark, SF, "documents")
+    long = "quick" * 500
+    urls_ = [f"http://{h}.{d}/{p}" for h in ("quickfox", "lazydog", "dogfox") for d, p in (("net", "es/slug-a"), ("net", "fr/zz"), ("com", "blog/12"), ("org", "slug/a"), ("org", "zz"), ("org", "new"), ("org", "12"))]
+    pages = spark.createDataFrame([(i, u, "<p>quick fox lazy dog dog dog</p>") for i, u in enumerate([*urls_, f"http://{long}lazy.org/x"])], "page_id long, url string, html string")
+    whole = {r["page_id"]: r for r in urls.filter_urls(pages).collect()}
+    assert whole[len(urls_)]["host_words"].split() == ["quick"] * 500 + ["lazy"]
+    assert whole[4]["score"] > whole[5]["score"] > whole[6]["score"]  # zz stood under net/fr alone, 12 under com alone, new nowhere
+    monkeypatch.setattr(urls, "VOCABULARY", 1)
+    monkeypatch.setattr(urls, "TOKENS_KEPT", 2)
+    for i, r in {r["page_id"]: r for r in urls.filter_urls(pages).collect()}.items():
+        assert (r["verdict"], r["host_words"]) == (whole[i]["verdict"], whole[i]["host_words"]) and abs(r["score"] - whole[i]["score"]) < 1e-9
+
+
+def test_urls_learn_from_ruled_pages_alone(spark):
+    """A word that no ruled page holds says nothing, whatever it is."""
+    pages = spark.createDataFrame([(i, u, "casino poker teapot") for i, u in enumerate(["http://a.net/es/x", "http://b.com/y", "http://casino.org/", "http://teapot.org/"])], "page_id long, url string, html string")
+    found = {r["page_id"]: r["score"] for r in urls.filter_urls(pages).collect()}
+    assert abs(found[2] - found[3]) < 1e-12
+
+
 def test_segmentation():
     words = {"cheap": -2.0, "pills": -2.0, "online": -2.5, "on": -1.5, "line": -2.0}
     assert urls.segment("cheappillsonline", words) == ["cheap", "pills", "online"]
