@@ -1,6 +1,6 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
-The toxic dictionary is trained on the parts of toxic texts that ordinary texts lack; the ordinary one on ordinary text, and on those
+The toxic dictionary is trained on the parts of toxic texts that ordinary texts lack, and holds all of them (TOXIC_BYTES at least); the ordinary one on ordinary text, and on those
 ordinary words that the toxic dictionary would shorten. A window is one word, written REPEAT times so that fixed parts of a frame cancel.
 Each window is compressed with either dictionary; the bytes that the toxic one saves are its gain. Thresholds on the gains are
 calibrated by logistic regression on the training rows. Words repeat, so gains are kept in a bounded table in each Python worker.
@@ -121,6 +121,13 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b" ".join(s for s, _ in Counter(samples).most_common(size // 16))[:size]
 
 
+def toxic_dictionary(spans: list[bytes]) -> bytes:
+    """Trained at the size that the distinct spans need; those that the training left out come first."""
+    distinct = sorted(set(spans))
+    found = _trained([b" ".join(spans[i:i + 4]) for i in range(0, len(spans), 4)], max(TOXIC_BYTES, 2 * sum(len(s) + 1 for s in distinct)))
+    return b" ".join([*(s for s in distinct if s not in found), found])
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     total = len(toxic) + len(ordinary)
     prior = len(toxic) / total if total else 0.0
@@ -128,7 +135,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
         return Model(b"", b"", (), prior)
     plain = [b" ".join(words[i:i + 16]) for words in map(windows, _apart(ordinary)) for i in range(0, len(words), 16)]
     spans = telling_spans(toxic, ordinary)
-    model = Model(_trained(plain[::max(1, len(plain) // 20_000)], ORDINARY_BYTES), _trained([b" ".join(spans[i:i + 4]) for i in range(0, len(spans), 4)], TOXIC_BYTES), (), prior)
+    model = Model(_trained(plain, ORDINARY_BYTES), toxic_dictionary(spans), (), prior)
     common_words = Counter(w for text in ordinary for w in set(windows(text)))
     gains = Gains(model)
     hard = sorted((w for w, n in common_words.items() if n >= 2 and gains[w] >= 1), key=lambda w: (common_words[w], w))

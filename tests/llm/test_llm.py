@@ -218,6 +218,18 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, labels.limit(0)).agg({"score": "max"}).first()[0] == 0
 
 
+def test_toxic_dictionary_holds_all_telling_words():
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(9))
+    bad, plain = sorted({word("qwxzjkvy") for _ in range(500)}), sorted({word("aeioustrn") for _ in range(300)})
+    texts = [" ".join(rng.choice(plain) for _ in range(40)) for _ in range(600)]
+    toxic = [(t + " " + " ".join(rng.sample(bad, 60))).encode() for t in texts[:300]]  # each word in some 36 texts
+    model = toxicity.fit(toxic, [t.encode() for t in texts[300:]])
+    gains = toxicity.Gains(model)
+    assert sum(map(len, bad)) > toxicity.TOXIC_BYTES
+    assert all(w.encode() in model.toxic for w in bad) and sum(gains[w.encode()] >= 1 for w in bad) >= 0.95 * len(bad)
+
+
 def test_lm(odd, spark):
     docs = common.table(spark, SF, "documents")
     found = lm.score_documents(docs).collect()
