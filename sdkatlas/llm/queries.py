@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sdkatlas.llm import decontaminate, language, lm, packing, quality, setsketch, tokenfile, toxicity, urls, warc
+from sdkatlas.llm import centroids, decontaminate, language, lm, packing, quality, rules, setsketch, tokenfile, toxicity, urls, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,10 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_near_dedup": setsketch.op10_near_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_quality_classifier": rules.op13_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op5_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op9_decontamination": decontaminate.SQL, "op10_near_dedup": setsketch.SQL}
+SQL = {"op5_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op9_decontamination": decontaminate.SQL, "op10_near_dedup": setsketch.SQL,
+       "op12_centroid_clustering": centroids.SQL}

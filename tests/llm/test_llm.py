@@ -40,7 +40,7 @@ def rows(frame, *columns):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     result = connection.execute(queries.SQL[name])
     columns = [d[0] for d in result.description]
