@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +59,19 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str | None, make: Callable[[], object] | None = None):
+    """A table that a Python worker keeps from one task to the next, made where there is none. A worker holds those of one name only: tasks of
+    another operator free what the one before left (None: free it and hold nothing)."""
+    if name not in _held:
+        _held.clear()
+        if name is not None:
+            _held[name] = make()
+    return _held.get(name)
+
+
 def texts(values: Iterable[str | None]) -> pd.Series:
     """A column of strings as plain objects, which every Arrow conversion takes."""
     return pd.Series(list(values), dtype=object)

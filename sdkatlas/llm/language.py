@@ -158,6 +158,7 @@ def language_of(spark: SparkSession, model: Model | None, text: Column) -> Colum
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.held(None)
         for batch in batches:
             if shared.value is None or not len(batch):
                 yield pd.DataFrame({"lang_pred": common.texts(["und"] * len(batch)), "score": [0.0] * len(batch), "ambiguous": [True] * len(batch)})

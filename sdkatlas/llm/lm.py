@@ -8,8 +8,9 @@ last 0.1 is for any word not seen. So all probabilities sum to one.
 
 Counts, class sums and the base score are over all training documents. The TOP commonest words go to the tasks in a broadcast of bounded size;
 other words are joined with their counts by a shuffle, in which no word is frequent. The network is fitted on all windows of all training
-documents, as counts of distinct (before-before, before, next) symbols. These are dealt to shards by their hash; in each of EPOCHS rounds every
-shard is trained from the same weights, and the weights are merged by the shards' counts.
+documents, as counts of distinct (before-before, before, next) symbols. These are dealt to shards by their hash, and a shard is cut into rows of CHUNK
+windows, which is what a task holds at once; in each of EPOCHS rounds every shard is trained from the same weights, row after row, and the
+weights are merged by the shards' counts.
 
 Null and empty texts are the end token only. Repeated rows count as often as they occur. An empty training set has N = 0, V = 0.
 """
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,10 @@ from sdkatlas.llm import common
 ADD = 0.1
 FREQUENT, CLASSES, TOP = 768, 255, 150_000
 GROWTH = 10.0  # symbols by the cube root of the number of distinct words
-SHARD, FLUSH_WINDOWS, ROWS = 2_000_000, 1_000_000, 64  # windows of a shard, windows counted before they are passed on, symbols merged together
+SHARD, CHUNK, FLUSH_WINDOWS, ROWS = 2_000_000, 300_000, 1_000_000, 64  # tokens of a shard, different windows of a row, windows counted before they are passed on, symbols merged together
 DIMENSIONS, NOISE, EPOCHS, BATCH, LEARN = 24, 96, 3, 2048, 0.15
 END = b"\n"  # no word holds white space
-FLUSH = 400_000  # words that a task counts before it passes them on
+FLUSH = 200_000  # words that a task counts before it passes them on
 LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, parts double, rare array<struct<word:binary,n:int>>"
 
 
@@ -145,32 +147,38 @@ def trained(state: np.ndarray, log_noise: np.ndarray, windows: np.ndarray, count
         return state
     rng, size = np.random.default_rng(seed), len(log_noise)
     cumulative = np.cumsum(np.exp(log_noise))
+    handicap = (np.log(NOISE) + log_noise).astype(np.float32)
     times = np.ceil(counts / (2 * counts.mean())).astype(np.int64)
     order = rng.permutation(np.repeat(np.arange(len(windows)), times))
-    weights = counts / times
-    mean = counts.sum() / len(order)
+    weights = (counts / times / (counts.sum() / len(order))).astype(np.float32)
     w, grown = parts_of(state)
 
     def move(key: str, at: np.ndarray | slice, gradient: np.ndarray) -> None:
         if isinstance(at, np.ndarray):  # sum what falls on the same row
-            at, where = np.unique(at, return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            gradient = np.add.reduceat(gradient[order], np.flatnonzero(np.r_[True, np.diff(where[order]) > 0]), axis=0)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            at, gradient = at[starts], np.add.reduceat(gradient[order], starts, axis=0)
         grown[key][at] += gradient**2
         w[key][at] += LEARN * gradient / np.sqrt(grown[key][at])
 
     for start in range(0, len(order), BATCH):
         rows = order[start:start + BATCH]
         far, near, target = windows[rows].T
-        share = (weights[rows] / (mean * len(rows))).astype(np.float32)
+        share = weights[rows] / np.float32(len(rows))
         others = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), size - 1)
         r_near, r_far = w["r"][near], w["r"][far]
         context = r_near * w["c"][0] + r_far * w["c"][1]
-        true = (context * w["q"][target]).sum(1) + w["b"][target] - np.log(NOISE) - log_noise[target]
-        false = context @ w["q"][others].T + w["b"][others] - np.log(NOISE) - log_noise[others]
-        g_true = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) * share
-        g_false = -(1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) * share[:, None]
-        back = g_true[:, None] * w["q"][target] + g_false @ w["q"][others]
+        q_target, q_others = w["q"][target], w["q"][others]
+        true = (context * q_target).sum(1) + (w["b"][target] - handicap[target])
+        false = context @ q_others.T
+        false += w["b"][others] - handicap[others]
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        g_true = share / (1 + np.exp(np.clip(true, -30, 30)))
+        g_false = np.divide(-share[:, None], false, out=false)
+        back = g_true[:, None] * q_target + g_false @ q_others
         move("q", np.r_[target, others], np.r_[g_true[:, None] * context, g_false.T @ context])
         move("b", np.r_[target, others], np.r_[g_true, g_false.sum(0)])
         move("r", np.r_[near, far], np.r_[back * w["c"][0], back * w["c"][1]])
@@ -216,8 +224,8 @@ def split_codes(codes: np.ndarray, size: int) -> np.ndarray:
     return np.stack([codes // (size * size), codes // size % size, codes % size], axis=1)
 
 
-def window_counts(training: DataFrame, shared, start: int) -> DataFrame:
-    """window ((far * size + near) * size + next), n: over all windows of all training documents."""
+def counted_windows(training: DataFrame, shared, start: int) -> DataFrame:
+    """window ((far * size + near) * size + next), n: over all windows of all training documents, each task's part summed."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, held, many = shared.value, [], 0
 
@@ -235,31 +243,64 @@ def window_counts(training: DataFrame, shared, start: int) -> DataFrame:
                     held, many = [], 0
         yield summed()
 
-    return training.mapInPandas(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    return training.mapInPandas(count, "window long, n long")
 
 
-def fit_table(training: DataFrame, shared) -> Network:
-    """The network of all training documents' windows. What a shard holds is bounded, their number grows with the tokens."""
-    spark, v = training.sparkSession, shared.value
-    size = v.size
-    shards = max(1, -(-v.tokens // SHARD))
+def packed_counts(windows: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted windows as differences, and their counts: small numbers, which compress well."""
+    return zstandard.ZstdCompressor(level=1).compress(np.r_[np.diff(windows, prepend=0), counts].astype("<i8").tobytes())
+
+
+def unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+    return np.cumsum(numbers[:len(numbers) // 2]), numbers[len(numbers) // 2:]
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("window")
-        # differences of sorted windows, which compress well
-        return pd.DataFrame({"shard": group["shard"].iloc[:1].to_numpy(), "windows": [np.diff(group["window"].to_numpy(), prepend=0).astype("<i8").tobytes()], "counts": [group["n"].to_numpy().astype("<i8").tobytes()]})
 
-    rows = window_counts(training, shared, size - 1).withColumn("shard", F.pmod(F.xxhash64("window", F.lit("shard")), F.lit(shards)).cast("int"))
-    packed = common.saved(rows.groupBy("shard").applyInPandas(pack, "shard int, windows binary, counts binary"), "lm-windows")
+def window_chunks(training: DataFrame, shared, shards: int) -> DataFrame:
+    """shard, chunk, data (packed_counts): all windows, CHUNK different ones in a row. One shuffle, by shard; Spark sorts and spills, and a task
+    holds one row at a time."""
+    size = shared.value.size
 
-    def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(np.frombuffer(row.windows, "<i8")), np.frombuffer(row.counts, "<i8")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        shard, chunk, many = None, 0, 0
+
+        def row() -> pd.DataFrame:
+            rows = pd.concat(held).sort_values("window")
+            return pd.DataFrame({"shard": [shard], "chunk": [chunk], "data": [packed_counts(rows["window"].to_numpy(), rows["n"].to_numpy())]})
+
+        for batch in batches:
+            # cut where a new shard begins
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(batch["shard"].to_numpy())) + 1):
+                rows = batch.iloc[part]
+                if len(rows) and shard is not None and (rows["shard"].iloc[0] != shard or many >= CHUNK):
+                    yield row()
+                    chunk = chunk + 1 if rows["shard"].iloc[0] == shard else 0
+                    held, many = [], 0
+                if len(rows):
+                    shard, many = int(rows["shard"].iloc[0]), many + len(rows)
+                    held.append(rows[["window", "n"]])
+        if held:
+            yield row()
+
+    # mixed by a hash that says nothing of the window, so that every row is a sample of the shard
+    rows = counted_windows(training, shared, size - 1).withColumn("shard", F.pmod(F.xxhash64("window", F.lit("shard")), F.lit(shards)).cast("int"))
+    summed = rows.repartition(shards, "shard").groupBy("shard", "window").agg(F.sum("n").alias("n"))
+    mixed = summed.sortWithinPartitions("shard", F.xxhash64("window", F.lit("order")))
+    return mixed.select("shard", "window", "n").mapInPandas(pack, "shard int, chunk int, data binary")
+
+
+def fit_table(training: DataFrame, shared) -> Network:
+    """The network of all training documents' windows. What a row holds is bounded, the number of shards grows with the tokens."""
+    spark, v = training.sparkSession, shared.value
+    size = v.size
+    packed = common.saved(window_chunks(training, shared, max(1, -(-v.tokens // SHARD))), "lm-windows")
 
     def count_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(size)
         for batch in batches:
             for row in batch.itertuples():
-                codes, n = unpacked(row)
+                codes, n = unpacked_counts(row.data)
                 sums += np.bincount(codes % size, weights=n, minlength=size)
         yield pd.DataFrame({"symbol": np.arange(size), "n": sums})
 
@@ -279,14 +320,25 @@ def fit_table(training: DataFrame, shared) -> Network:
         now = spark.sparkContext.broadcast(state)
 
         def train(batches: Iterator[pd.DataFrame], now=now, k=k) -> Iterator[pd.DataFrame]:
-            total, mass, first = None, 0.0, 0
+            total, mass, first, shard, mine, of_shard = None, 0.0, 0, None, None, 0.0
+
+            def done() -> None:
+                nonlocal total, mass, first
+                part = mine.astype(np.float64) * of_shard
+                first = shard if total is None else min(first, shard)
+                total, mass = part if total is None else total + part, mass + of_shard
+
             for batch in batches:
                 for row in batch.itertuples():
-                    codes, n = unpacked(row)
-                    found = trained(now.value, log_noise, split_codes(codes, size), n.astype(np.float64), 1000 * k + 7 + row.shard).astype(np.float64) * n.sum()
-                    first = row.shard if total is None else min(first, row.shard)
-                    total, mass = found if total is None else total + found, mass + n.sum()
-            if total is not None:
+                    if row.shard != shard:
+                        if shard is not None:
+                            done()
+                        shard, mine, of_shard = row.shard, now.value, 0.0
+                    codes, n = unpacked_counts(row.data)
+                    mine = trained(mine, log_noise, split_codes(codes, size), n.astype(np.float64), 100_003 * k + 1009 * row.shard + row.chunk + 7)
+                    of_shard += float(n.sum())
+            if shard is not None:
+                done()
                 mean = (total / mass).astype("<f4")
                 yield pd.DataFrame({"block": np.arange(blocks), "shard": first, "mass": mass, "part": [mean[i * ROWS:(i + 1) * ROWS].tobytes() for i in range(blocks)]})
 

@@ -65,6 +65,7 @@ def counts(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    common.held(None)
     names = [c.split()[0] for c in COUNTS.split(", ")]
     for batch in batches:
         yield pd.DataFrame([counts(d) for d in batch], columns=names, dtype="int64")

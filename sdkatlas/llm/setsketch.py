@@ -33,7 +33,7 @@ PERCENT = 85  # a link: 100 * intersection >= PERCENT * union
 #: Pairs estimated lower are not verified: some five standard errors of the estimate under the threshold.
 LEAST_ESTIMATE = 0.74
 SMALL_BUCKET, BLOCK = 32, 512
-KEPT_WORDS = 500_000
+KEPT_WORDS, KEPT_SHINGLES = 100_000, 2_000_000  # of a task: words with their hashes; shingles of the sets it holds
 SKETCH = "doc_id long, k0 long, k1 long, n_shingles long, class long, check long, registers binary"
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -84,6 +84,7 @@ def identity(found: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    common.held(None)
     hashes, names = WordHashes(), [c.split()[0] for c in SKETCH.split(", ")]
     for batch in batches:
         rows = []
@@ -160,16 +161,19 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, kept = WordHashes(), {}
+        common.held(None)
+        hashes, kept, size = WordHashes(), {}, 0
         for batch in batches:
             out = []
             for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 sets = []
                 for name, text in ((a, text_a), (b, text_b)):
                     if name not in kept:
-                        if len(kept) > 500:
-                            kept.clear()
                         found = shingles(text, hashes)
+                        size += len(found)
+                        if size > KEPT_SHINGLES:
+                            kept.clear()
+                            size = len(found)
                         if identity(found)[0] != name:  # another text with the same keys
                             found = None
                         else:

@@ -11,6 +11,8 @@ import os
 import re
 import struct
 
+from sdkatlas.llm import common
+
 #: End of a paragraph inside a piece: a line break between two non-space characters is a piece of its own.
 _BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 #: Letters with marks behind them: two pieces of the split. An apostrophe may begin a contraction, so it is none of the marks.
@@ -24,9 +26,6 @@ _ODD = re.compile(r" (?:\s|\Z)|\s(?<=[^ ]) |\A ")
 KEPT = 550_000
 LONGEST_KEPT = 64
 
-_encoders: dict[str, Encoder] = {}
-
-
 class Encoder(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -79,10 +78,8 @@ def _raw(ids: list[int]) -> bytes:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The Python worker's encoder for a tokenizer file; other operators' tasks free it."""
+    return common.held(f"tokens {path}", lambda: Encoder(path))
 
 
 def default_path() -> str:

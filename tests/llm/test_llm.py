@@ -257,8 +257,16 @@ def test_lm_counts_every_window(spark, monkeypatch):
     for t in texts:
         s = lm.symbols_of([*t.encode().split(), lm.END], v)[1].tolist()
         expected.update(zip([v.size - 1, v.size - 1, *s], [v.size - 1, *s], s))
-    found = lm.window_counts(training, spark.sparkContext.broadcast(v), v.size - 1).toPandas()
-    assert {tuple(w): n for w, n in zip(lm.split_codes(found["window"].to_numpy(), v.size).tolist(), found["n"])} == dict(expected)
+    monkeypatch.setattr(lm, "CHUNK", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    found, seen = lm.window_chunks(training, spark.sparkContext.broadcast(v), 3).collect(), Counter()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for row in found:
+        codes, counts = lm.unpacked_counts(row["data"])
+        windows = lm.split_codes(codes, v.size).tolist()
+        assert not seen.keys() & set(map(tuple, windows))
+        seen.update(dict(zip(map(tuple, windows), counts.tolist(), strict=True)))
+    assert seen == expected and len({(r["shard"], r["chunk"]) for r in found}) == len(found) > 3
     assert sum(lm.symbol_numbers(10)) == lm.FREQUENT + lm.CLASSES < sum(lm.symbol_numbers(10**7)) < sum(lm.symbol_numbers(10**8))
 
 
