@@ -204,7 +204,13 @@ SHARED_SCHEMAS = (
     '"item_Tag": ' + TAG)
 
 
-def contract_operations(spark: SparkSession, sf: str) -> DataFrame:
+def contract_parts(spark: SparkSession, sf: str, repos: DataFrame | None = None) -> DataFrame:
+    """The parts of the contract corpus with their repo; of `repos(repo_id)` alone where given, dropped before anything is made of them."""
+    rows = table(spark, sf, "part").withColumn("repo_id", F.floor(F.col("p_partkey") / PARTS_PER_DOC))
+    return rows if repos is None else rows.join(repos, "repo_id", "left_semi")
+
+
+def contract_operations(spark: SparkSession, sf: str, repos: DataFrame | None = None) -> DataFrame:
     """One operation per part with its contract text: (repo_id, p, raw_path, verb, item, schema)."""
     p = F.col("p_partkey")
     size = F.col("p_size")
@@ -247,17 +253,17 @@ def contract_operations(spark: SparkSession, sf: str) -> DataFrame:
     combined = text(
         '"item_Part<p>": {"allOf": [' + ref("item_Audit") + ', {"type": "object", "required": ["label", "created_by"], "properties": '
         '{"label": {"type": "string"}, "created_by": {"type": "number"}}}]}', p=p)
-    return table(spark, sf, "part").select(
-        F.floor(p / PARTS_PER_DOC).alias("repo_id"), p.alias("p"),
+    return contract_parts(spark, sf, repos).select(
+        "repo_id", p.alias("p"),
         text("/parts/<p>/{tagId}/x/{itemID}", p=p).alias("raw_path"), verb.alias("verb"),
         F.concat(F.lit('{"parameters": ' + path_params + ', "summary": "s", "'), verb, F.lit('": '), op, F.lit("}")).alias("item"),
         F.when(p % 6 == 1, plain).when(p % 6 == 4, combined).alias("schema"))
 
 
-def contract_documents(spark: SparkSession, sf: str) -> DataFrame:
+def contract_documents(spark: SparkSession, sf: str, repos: DataFrame | None = None) -> DataFrame:
     """`specs(repo_id, doc)`: PARTS_PER_DOC operations per document."""
     ordered = lambda value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", value))), lambda r: r[value]), ", ")
-    rows = contract_operations(spark, sf).withColumn(
+    rows = contract_operations(spark, sf, repos).withColumn(
         "member", F.concat(F.lit('"'), F.col("raw_path"), F.lit('": '), F.col("item")))
     docs = rows.groupBy("repo_id").agg(
         ordered("member").alias("paths"),
@@ -269,19 +275,18 @@ def contract_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(SHARED_SCHEMAS), own, F.lit("}}}")).alias("doc")).transform(_spread)
 
 
-def contract_languages(spark: SparkSession, sf: str) -> DataFrame:
+def contract_languages(spark: SparkSession, sf: str, repos: DataFrame | None = None) -> DataFrame:
     """(repo_id, language) of the contract documents."""
-    repo = F.floor(F.col("p_partkey") / PARTS_PER_DOC).alias("repo_id")
-    return (table(spark, sf, "part").select(repo).distinct()
+    return (contract_parts(spark, sf, repos).select("repo_id").distinct()
             .withColumn("language", _choose(F.col("repo_id") % 3, ["python", "java", "typescript"])))
 
 
-def contract_mappings(spark: SparkSession, sf: str) -> DataFrame:
+def contract_mappings(spark: SparkSession, sf: str, repos: DataFrame | None = None) -> DataFrame:
     """One SDK call per contract operation."""
     p = F.col("p_partkey")
     language = _choose(F.col("repo_id") % 3, ["python", "java", "typescript"])
     only = lambda name, value: F.when(F.col("language") == name, value)
-    return (table(spark, sf, "part").select(F.floor(p / PARTS_PER_DOC).alias("repo_id"), p.alias("p"))
+    return (contract_parts(spark, sf, repos).select("repo_id", p.alias("p"))
             .withColumn("language", language).select(
         "repo_id", F.lit("client").alias("path"), F.col("p").alias("ord"), F.upper(_choose(F.col("p") % 5, VERBS)).alias("http_method"),
         text("/parts/<p>/{tag_id}/x/{item_id}", p=F.col("p")).alias("http_path"),

@@ -10,7 +10,7 @@ from sdkatlas.plans import corpus, manifest
 from sdkatlas.plans.registry import query
 from sdkatlas.plans.render_queries import metadata_of
 from sdkatlas.operators.render import render_rules
-from sdkatlas.session import ensure_checkpoint_dir
+from sdkatlas.session import checkpointed, ensure_checkpoint_dir
 from sdkatlas.streaming import arrivals, refresh
 
 
@@ -19,21 +19,37 @@ def events_as(events, event_type, ts):
         F.concat(F.lit("c"), "user_id").alias("origin_commit"), F.col("ts").alias(ts))
 
 
-@query("late_spec", """with s as (select 'c' || user_id as origin_commit, ts as sdk_ts from events where event_type = 'signup'),
+WAIT_HOURS = 6
+
+
+@query("late_spec", f"""with s as (select distinct 'c' || user_id as origin_commit, ts as sdk_ts from events where event_type = 'signup'),
       v as (select 'c' || user_id as origin_commit, ts as spec_ts from events where event_type = 'view')
-    select s.origin_commit, sdk_ts, spec_ts, case when spec_ts is null then 'timed_out' else 'arrived' end as status
-    from s left join v on s.origin_commit = v.origin_commit and spec_ts between sdk_ts and sdk_ts + interval 6 hours""")
+    select s.origin_commit, sdk_ts, min(spec_ts) as spec_ts, case when min(spec_ts) is null then 'timed_out' else 'arrived' end as status
+    from s left join v on s.origin_commit = v.origin_commit and spec_ts between sdk_ts and sdk_ts + interval {WAIT_HOURS} hours
+    group by s.origin_commit, sdk_ts""")
 def late_spec(spark, sf):
+    """Runs as a stream over all events. One event of either kind long after the last, with no user, moves the watermark past every wait."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/late-spec-{uuid.uuid4().hex}"
     events = corpus.table(spark, sf, "events")
-    return arrivals.late_specs(events_as(events, "signup", "sdk_ts"), events_as(events, "view", "spec_ts"), wait="6 hours")
+    kinds = F.explode(F.array(F.lit("signup"), F.lit("view"))).alias("event_type")
+    closing = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select("ts", kinds)
+    closing.write.parquet(f"{place}/closing")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")  # as a pattern, it may be a file or a folder
+    last = spark.readStream.schema(closing.schema).parquet(f"{place}/closing")
+    stream = arriving.select("ts", "event_type", "user_id").union(last.select("ts", "event_type", F.lit(None).cast("bigint")))
+    settled = arrivals.late_specs(events_as(stream, "signup", "sdk_ts"), events_as(stream, "view", "spec_ts"), wait_seconds=WAIT_HOURS * 3600)
+    (settled.writeStream.format("parquet").option("path", f"{place}/settled").option("checkpointLocation", f"{place}/stream")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(settled.schema).parquet(f"{place}/settled").filter("origin_commit is not null")
 
 
 def contract_artifacts(spark, sf):
-    """build(repos) for the contract corpus: each repo's contract and its manifest."""
+    """build(repos) for the contract corpus: each repo's contract and its manifest, from those repos' parts alone."""
     def build(repos):
-        specs = corpus.contract_documents(spark, sf).join(repos, "repo_id", "left_semi")
-        languages = corpus.contract_languages(spark, sf).join(repos, "repo_id", "left_semi")
-        examples = manifest.matched_examples(specs, corpus.contract_mappings(spark, sf), languages)
+        specs = checkpointed(corpus.contract_documents(spark, sf, repos))
+        languages = corpus.contract_languages(spark, sf, repos)
+        examples = manifest.matched_examples(specs, corpus.contract_mappings(spark, sf, repos), languages)
         documents = manifest.manifest_documents(manifest.manifest_rows(examples, metadata_of(languages)), render_rules(spark))
         return (specs.select("repo_id", F.lit("spec").alias("artifact"), F.col("doc").alias("payload"))
                 .unionByName(documents.select("repo_id", F.lit("manifest").alias("artifact"), F.col("document").alias("payload"))))
