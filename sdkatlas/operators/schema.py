@@ -1,8 +1,13 @@
 """Schema references resolved into flat node tables.
 
 A resolved schema is a tree of unbounded depth, which no Spark type holds, so it is one row per node
-with a JSON-pointer path. Each round follows references (one equi-join) and takes nodes apart; rounds
-end when nothing is open. A name already on the way to a node is not entered again.
+with a JSON-pointer path. Work goes in two parts:
+
+1. Every named schema, and every root, is taken apart once, down to its references (`own_nodes`). This is the only part that
+   reads JSON, and its rounds are bounded by how deep one schema's text is nested.
+2. Roots grow by grafting (`expand`): each open reference is replaced by the own nodes of the schema it names, moved to its place, by one equi-join.
+   Each round goes one name deeper for all roots at once, so rounds are bounded by the longest way through the reference graph
+   without a repeated name. Every node is made once, in its final place. A name already on the way to a node is not entered again.
 """
 
 from __future__ import annotations
@@ -55,10 +60,14 @@ def root_id(usage: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws(":", usage, text), 256)
 
 
-def _open_root(roots: DataFrame) -> DataFrame:
+UNIT = ["repo_id", "unit"]
+
+
+def _open_texts(texts: DataFrame, unit: list[str]) -> DataFrame:
+    """`texts(unit…, text)` as open nodes."""
     none = F.array().cast("array<int>")
     names = F.array().cast("array<string>")
-    return roots.select(*ROOT, F.inline(F.array(_row(
+    return texts.select(*unit, F.inline(F.array(_row(
         open=F.lit(True), real_path=F.lit(""), path=F.lit(""), slot=F.lit("root"), ord=F.lit(0), owner=F.lit(""), chain=none,
         contested=names, visited=names, text=F.col("text"), ref=reference_of(F.col("text")), declared_in_allof=F.lit(False)))))
 
@@ -123,37 +132,91 @@ def _taken_apart(slots: tuple[str, ...]) -> Column:
     return F.inline(F.when(F.col("open") & F.col("ref").isNull(), bind(parsed, rows)).otherwise(as_it_is))
 
 
-def _follow(frontier: DataFrame, components: DataFrame) -> DataFrame:
-    """Each open reference becomes its target, or a finished marker if that is unknown or already entered."""
-    named = frontier.withColumn("name", first_group(F.col("ref"), r"\A#/components/schemas/(.+)\z"))
-    target = components.select("repo_id", "name", F.col("text").alias("target"))
-    joined = named.join(target, ["repo_id", "name"], "left")
-    enter = F.col("target").isNotNull() & ~F.array_contains("visited", F.col("name"))
-    outer_name = F.coalesce("ref_name", "name")
-    changed = {
-        "open": enter, "text": F.when(enter, F.col("target")), "ref": F.when(enter, reference_of(F.col("target"))), "ref_name": outer_name,
-        "visited": F.when(enter, F.array_append("visited", F.col("name"))), "in_allof": F.size("chain") > 0,
-        "has_properties": F.lit(False), "property_count": F.lit(0),
+ALL_SLOTS = ("properties", "items", "additionalProperties", "oneOf", "anyOf")
+
+
+def own_nodes(texts: DataFrame, unit: list[str], slots: tuple[str, ...] = ALL_SLOTS) -> DataFrame:
+    """The nodes of each text (`texts(unit…, text)`) as far as the text itself goes; references stay open. One round takes two levels apart."""
+    apart = _taken_apart(slots)
+    frontier, finished = _open_texts(texts, unit), None
+    while True:
+        step = checkpointed(frontier.select(*unit, apart).select(*unit, apart))
+        unfinished = F.col("open") & F.col("ref").isNull()
+        done = step.filter(~unfinished)
+        finished = done if finished is None else finished.unionByName(done)
+        frontier = step.filter(unfinished)
+        if frontier.isEmpty():
+            return finished
+
+
+def _grafted(at: dict[str, Column], own: dict[str, Column], name: Column) -> dict[str, Column]:
+    """An own node of the schema `name`, moved to the place of the reference `at`.
+
+    At a member of an allOf only properties and members count, the object is the member's owner, and properties are contested.
+    """
+    is_root = (own["real_path"] == "")
+    of_object = (own["owner"] == "")  # the named schema itself and the members of its allOf
+    declared_by_object = own["object"] == ""
+    is_member = F.size(at["chain"]) > 0
+    below_root = lambda value: F.concat(at["real_path"], value)
+    # The property of the named object that this node is, or lies below; further in, own contests say all.
+    top_property = F.regexp_extract(own["real_path"], r"\A/properties/[^/]+", 0)
+    newly_contested = F.when(is_member & (top_property != ""), F.array(below_root(top_property))).otherwise(F.array().cast("array<string>"))
+    moved_contests = F.concat(at["contested"], newly_contested, F.transform(own["contested"], below_root))
+    return {
+        "open": own["open"],
+        "real_path": below_root(own["real_path"]),
+        "path": F.concat(at["path"], own["path"]),
+        # Members of the object share its path, so they share its parent too.
+        "parent_path": F.when(own["path"] == "", at["parent_path"]).otherwise(F.concat(at["path"], own["parent_path"])),
+        "slot": F.when(is_root, at["slot"]).otherwise(own["slot"]),
+        "key": F.when(is_root, at["key"]).otherwise(own["key"]),
+        "ord": F.when(is_root, at["ord"]).otherwise(own["ord"]),
+        "owner": F.when(of_object, at["owner"]).otherwise(below_root(own["owner"])),
+        "chain": F.when(of_object, F.concat(at["chain"], own["chain"])).otherwise(own["chain"]),
+        "object": F.when(is_root, at["object"]).when(declared_by_object, at["owner"]).otherwise(below_root(own["object"])),
+        "def_chain": F.when(is_root, at["def_chain"]).when(declared_by_object, F.concat(at["chain"], own["def_chain"])).otherwise(own["def_chain"]),
+        "declared_in_allof": F.when(is_root, at["declared_in_allof"]).otherwise(
+            own["declared_in_allof"] | (is_member & (own["real_path"] == top_property))),
+        "contested": moved_contests,
+        "visited": F.when(own["open"], F.array_append(at["visited"], name)),
+        "ref_name": F.when(is_root, F.coalesce(at["ref_name"], name)).otherwise(own["ref_name"]),
+        "ref": own["ref"],
+        "in_allof": own["in_allof"] | (of_object & is_member),
+        **{n: own[n] for n in ("type", "format", "enum", "required", "has_properties", "property_count", "additional")},
     }
-    return joined.select(*ROOT, *[changed.get(n, F.col(n)).cast(k).alias(n) for n, k in _FIELDS.items()])
 
 
-ALL_SLOTS = ("properties", "items", "additionalProperties", "oneOf", "anyOf")
+def _graft(frontier: DataFrame, own: DataFrame) -> DataFrame:
+    """Each open reference becomes the nodes of its target, or a finished marker if that is unknown or already entered."""
+    named = frontier.withColumn("name", first_group(F.col("ref"), r"\A#/components/schemas/(.+)\z"))
+    named = named.withColumn("unit", F.when(~F.array_contains("visited", F.col("name")), F.col("name")))
+    moved = own.select(*UNIT, F.struct(*_FIELDS).alias("own"))
+    joined = named.join(moved, UNIT, "left")
+    at, node = {n: F.col(n) for n in _FIELDS}, {n: F.col("own")[n] for n in _FIELDS}
+    marker = {**at, "open": F.lit(False), "ref": F.lit(None), "ref_name": F.coalesce("ref_name", "name"), "visited": F.lit(None),
+              "in_allof": F.size("chain") > 0, "has_properties": F.lit(False), "property_count": F.lit(0)}
+    grafted = _grafted(at, node, F.col("name"))
+    # What a member of an allOf says besides properties and members is lost.
+    lost = (F.size("chain") > 0) & F.rlike(node["real_path"], F.lit(r"\A/(?:items|additionalProperties|oneOf|anyOf)(?:/|\z)"))
+    row = F.when(F.col("own").isNull(), _row(**marker)).when(~lost, _row(**grafted))
+    return keep(joined, ROOT, row)
 
 
 def expand(roots: DataFrame, components: DataFrame, slots: tuple[str, ...] = ALL_SLOTS) -> DataFrame:
     """All nodes below the roots, members of an allOf still on their own."""
+    named = components.select("repo_id", F.col("name").alias("unit"), F.lit(None).cast("string").alias("root_id"), "text")
+    texts = named.unionByName(roots.select(*ROOT, F.lit(None).cast("string").alias("unit"), "text"))
+    apart = own_nodes(texts, [*UNIT, "root_id"], slots)
+    own, step = apart.filter("unit is not null").drop("root_id"), apart.filter("unit is null").drop("unit")
     finished = None
-    frontier = _open_root(roots)
-    apart = _taken_apart(slots)
     while True:
-        followed = _follow(frontier.filter("ref is not null"), components)
-        step = checkpointed(frontier.filter("ref is null").unionByName(followed).select(*ROOT, apart))
         done = step.filter("not open")
         finished = done if finished is None else finished.unionByName(done)
         frontier = step.filter("open")
         if frontier.isEmpty():
             return finished.drop("open", "text", "ref", "visited")
+        step = checkpointed(_graft(frontier, own))
 
 
 def flatten_members(nodes: DataFrame) -> DataFrame:

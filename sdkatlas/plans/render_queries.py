@@ -9,6 +9,7 @@ from sdkatlas.operators import calltext, contract, match, render, schema, values
 from sdkatlas.plans import corpus, manifest
 from sdkatlas.plans.contract_queries import OPS
 from sdkatlas.plans.registry import query
+from sdkatlas.session import checkpointed
 from sdkatlas.plans.source_queries import entries
 
 KEY = ["repo_id", "http_method", "http_path"]
@@ -39,9 +40,9 @@ NODES = f"""{OPS}, shapes(c, path, slot, ord, type, enum, required, ref_name) as
 
 def contract_body_nodes(spark, sf, only=None):
     """Resolved nodes of each operation's body, keyed by the operation."""
-    docs = corpus.contract_documents(spark, sf)
+    docs = checkpointed(corpus.contract_documents(spark, sf))  # the corpus is written out once
     ends = contract.endpoints(docs).withColumn("root_id", schema.root_id(F.lit("body"), F.col("body_schema")))
-    ends = (ends.filter(only) if only is not None else ends).select(*KEY, "root_id", "body_schema").filter("body_schema is not null")
+    ends = checkpointed((ends.filter(only) if only is not None else ends).select(*KEY, "root_id", "body_schema").filter("body_schema is not null"))
     roots = schema.roots_of(ends.select("repo_id", F.lit("body").alias("usage"), F.col("body_schema").alias("text")))
     nodes = schema.resolve(roots, contract.components(docs))
     place = Window.partitionBy("repo_id", "root_id", "parent_path", "slot").orderBy("ord")
@@ -74,9 +75,9 @@ def allof_flatten(spark, sf):
 
 def prepared(spark, sf):
     """Matched endpoints with their language, and the resolved nodes of their schemas."""
-    docs = corpus.contract_documents(spark, sf)
+    docs = checkpointed(corpus.contract_documents(spark, sf))
     languages = corpus.contract_languages(spark, sf)
-    ends = contract.endpoints(docs)
+    ends = checkpointed(contract.endpoints(docs))
     rows = match.matched(ends, match.mapping_index(corpus.contract_mappings(spark, sf))).join(languages, "repo_id")
     return rows, render.resolved_nodes(ends, contract.components(docs), languages)
 
