@@ -21,8 +21,11 @@ _PARAM = "struct<`$ref`:string,`in`:string,name:string,required:string,schema:st
 
 
 def is_document(doc: Column) -> Column:
-    """True for a JSON object."""
-    return F.coalesce(F.get_json_object(doc, "$").startswith("{"), F.lit(False))
+    """True for a JSON object and nothing behind it: put before a last item in an array, it is the first of two."""
+    last = "end of document"
+    items = F.from_json(F.concat(F.lit("["), doc, F.lit(f',"{last}"]')), "array<string>")
+    alone = (F.size(items) == 2) & (F.get(items, F.lit(1)) == last)
+    return F.coalesce(F.get_json_object(doc, "$").startswith("{") & alone, F.lit(False))
 
 
 def quarantine(specs: DataFrame) -> DataFrame:

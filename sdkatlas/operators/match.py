@@ -73,6 +73,14 @@ def extraction_status(client_files: DataFrame, mappings: DataFrame) -> DataFrame
             .select("repo_id", "client_files", endpoints.alias("endpoints"), status.alias("status")))
 
 
+def file_status(client_files: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The same for each client file: a single file whose shape changed does not hide behind the others of its repo."""
+    found = mappings.groupBy("repo_id", "path").agg(F.count("*").alias("endpoints"))
+    endpoints = F.coalesce("endpoints", F.lit(0))
+    return (client_files.filter("is_client").select("repo_id", "path").join(found, ["repo_id", "path"], "left")
+            .select("repo_id", "path", endpoints.alias("endpoints"), F.when(endpoints == 0, "no_endpoints").otherwise("ok").alias("status")))
+
+
 def examples(matched_rows: DataFrame) -> DataFrame:
     """Request and response bodies as JSON text; a streaming endpoint has no response body, only the flag."""
     null = F.lit("null")

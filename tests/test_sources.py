@@ -41,3 +41,34 @@ def test_changes_and_writes(spark, tmp_path):
     documents = spark.createDataFrame([(1, "python", '{"a":1}'), (2, "java", '{"b":2}')], "repo_id bigint, language string, document string")
     artifacts.write_manifests(documents, str(tmp_path / "out"))
     assert {(r.language, r.value) for r in spark.read.text(str(tmp_path / "out")).collect()} == {("python", '{"a":1}'), ("java", '{"b":2}')}
+
+
+def test_store(spark, tmp_path):
+    from sdkatlas.sources import store
+
+    place = str(tmp_path / "store")
+    tree = lambda rows: spark.createDataFrame(rows, "repo_id bigint, path string, content string")
+    now = lambda kinds=None: {(r.repo_id, r.path, r.kind, r.content) for r in store.read(spark, place, kinds).collect()}
+    assert store.read(spark, place).count() == 0 and store.listing(spark, place).count() == 0
+    first = [(1, "src/a.py", "x"), (1, "LICENSE", ""), (2, "src/a.py", "x"), (2, "b/C.java", "y")]
+    assert store.put(tree(first), place) == 4 and store.put(tree(first), place) == 0 and store.versions(spark, place) == [0]
+    assert now() == {(1, "src/a.py", "py", "x"), (1, "LICENSE", "none", ""), (2, "src/a.py", "py", "x"), (2, "b/C.java", "java", "y")}
+    assert store.put(tree([(2, "src/a.py", "new"), (2, "b/C.java", "y"), (3, "d.ts", "é")]), place) == 2
+    assert now() == {(1, "src/a.py", "py", "x"), (1, "LICENSE", "none", ""), (2, "src/a.py", "py", "new"), (2, "b/C.java", "java", "y"), (3, "d.ts", "ts", "é")}
+    assert now(["py"]) == {(1, "src/a.py", "py", "x"), (2, "src/a.py", "py", "new")}
+    assert {(r.repo_id, r.path, r.size, r.version) for r in store.listing(spark, place).collect()} == {
+        (1, "src/a.py", 1, 0), (1, "LICENSE", 0, 0), (2, "src/a.py", 3, 1), (2, "b/C.java", 1, 0), (3, "d.ts", 2, 1)}
+    tree([(9, "half.py", "z")]).selectExpr("*", "1L as size", "'d' as digest", "'py' as kind").write.partitionBy("kind").parquet(f"{place}/version=2")
+    assert not [r for r in now() if r[0] == 9]  # a version that is not in the log is not there
+    plan = store.listing(spark, place)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema: ")[1].splitlines()[0]
+
+
+def test_trailing_text_is_no_document(spark):
+    from pyspark.sql import functions as F
+    from sdkatlas.operators import contract
+
+    docs = ['{"a":1}', ' {"a": {"b": [1]}}\n', '{"a":1} trailing', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1,"a":2}', '[1]', '{"a":', '', '{}', '{"a":1}]']
+    rows = spark.createDataFrame([(d,) for d in docs] + [(None,)], "doc string")
+    good = [r[0] for r in rows.filter(contract.is_document(F.col("doc"))).collect()]
+    assert good == [docs[0], docs[1], docs[5], "{}"]
