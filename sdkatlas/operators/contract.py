@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sdkatlas.functions.jsontext import TEXT_MAP, key_order, member_json, members
+from sdkatlas.functions.jsontext import TEXT_MAP, key_order, member_json, members, once
 from sdkatlas.functions.text import first_group, normalize_placeholders
 
 # The operation keys that count as HTTP methods.
@@ -82,7 +82,7 @@ def operations(specs: DataFrame) -> DataFrame:
             inherited.alias("path_params_listed"),
             _parameters(listed(m["op"]), F.col("registry")).alias("op_params_listed")))
 
-    found = F.flatten(F.transform(F.map_entries("paths"), of_path))
+    found = F.flatten(F.transform(once(F.map_entries("paths")), of_path))
     return (read.select("repo_id", F.inline(found))
             .withColumn("http_method", F.upper("method"))
             .withColumn("http_path", normalize_placeholders(F.col("raw_path"))))
@@ -173,4 +173,4 @@ def endpoints(specs: DataFrame) -> DataFrame:
 def components(specs: DataFrame) -> DataFrame:
     """Named schemas: (repo_id, name, text)."""
     doc = F.from_json("doc", f"struct<components:struct<schemas:{TEXT_MAP}>>")
-    return specs.filter(is_document(F.col("doc"))).select("repo_id", F.explode(doc["components"]["schemas"]).alias("name", "text"))
+    return specs.filter(is_document(F.col("doc"))).select("repo_id", F.inline(F.transform(once(F.map_entries(doc["components"]["schemas"])), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("text")))))

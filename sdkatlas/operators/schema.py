@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sdkatlas.functions.jsontext import key_order
+from sdkatlas.functions.jsontext import key_order, once
 from sdkatlas.functions.rows import keep
 from sdkatlas.functions.text import bind, first_group
 from sdkatlas.session import checkpointed
@@ -102,7 +102,7 @@ def _children(node: Column, in_allof: Column, slots: tuple[str, ...]) -> Column:
         F.concat(F.lit("/allOf/"), i.cast("string")), "allOf", text, path=path, parent_path=F.col("parent_path"), ord=i,
         owner=F.col("owner"), chain=F.array_append("chain", i)))
     parts = {
-        "properties": F.transform(F.map_entries(node["properties"]), property_),
+        "properties": F.transform(once(F.map_entries(node["properties"])), property_),
         "items": single("items", node["items"].isNotNull()),
         "additionalProperties": single("additionalProperties", node["additionalProperties"].startswith("{")),
         "oneOf": F.when(~is_member, listed("oneOf")), "anyOf": F.when(~is_member, listed("anyOf")),

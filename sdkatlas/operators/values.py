@@ -6,11 +6,10 @@ so every step starts with a slash and holds no other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sdkatlas.functions.jsontext import TEXT_MAP, TYPED_MAP, as_json, json_kind, key_order, quote
-from sdkatlas.functions.text import bind
+from sdkatlas.functions.jsontext import json_kind, key_order, marked, members, quote, string_or
 from sdkatlas.session import checkpointed
 
 _CHILD = "array<struct<step:string,key:string,ord:bigint,json:string>>"
@@ -21,28 +20,25 @@ def escape_key(key: Column) -> Column:
 
 
 def _members(json: Column) -> Column:
-    def typed_rows(raw, typed):
-        return F.transform(F.map_entries(raw), lambda e, i: F.struct(
-            F.concat(F.lit("/"), escape_key(e["key"])).alias("step"), e["key"].alias("key"), key_order(e["key"], i).alias("ord"),
-            as_json(e["value"], F.try_element_at(typed, e["key"])).alias("json")))
-
-    return bind(F.from_json(json, TEXT_MAP), lambda raw: bind(F.from_json(json, TYPED_MAP), lambda typed: typed_rows(raw, typed)))
+    return F.transform(members(json), lambda e, i: F.struct(
+        F.concat(F.lit("/"), escape_key(e["key"])).alias("step"), e["key"].alias("key"), key_order(e["key"], i).alias("ord"),
+        string_or(e["value"], lambda r: r).alias("json")))
 
 
 def _items(json: Column) -> Column:
-    pairs = F.arrays_zip(F.from_json(json, "array<string>").alias("raw"), F.from_json(json, "array<variant>").alias("typed"))
-    return F.transform(pairs, lambda p, i: F.struct(
+    return F.transform(F.from_json(json, "array<string>"), lambda raw, i: F.struct(
         F.concat(F.lit("/"), i.cast("string")).alias("step"), F.lit(None).cast("string").alias("key"), i.cast("bigint").alias("ord"),
-        as_json(p["raw"], p["typed"]).alias("json")))
+        string_or(raw, lambda r: r).alias("json")))
 
 
 def shred(values: DataFrame, ids: list[str]) -> DataFrame:
     """`values(ids…, json)` to one row per node: (ids…, at, parent, key, ord, depth, kind, within, json).
 
     `within` lists the kinds of the containers around a node, outermost first: a step that is a number
-    may be a key or an index. One round per level.
+    may be a key or an index. `json` is a scalar's text; a container's own text has its strings marked. One round per level.
     """
-    frontier = values.filter("json is not null").select(
+    marks = F.when(json_kind(F.col("json")) == "string", F.col("json")).otherwise(marked(F.col("json")))
+    frontier = values.filter("json is not null").withColumn("json", marks).select(
         *ids, F.lit("").alias("at"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"),
         F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("depth"), json_kind(F.col("json")).alias("kind"),
         F.array().cast("array<string>").alias("within"), "json")
@@ -86,20 +82,26 @@ def merge(base: DataFrame, over: DataFrame, ids: list[str]) -> DataFrame:
     """Deep merge of two values per id: objects combine, anything else of `over` replaces what it meets.
 
     Members of `base` keep their place; new ones follow in the order of `over`.
+
+    Both sides are taken apart in one loop. Rows of a value are then brought together once; in the order of their places a
+    container stands right before what it holds, so the last replaced place before a row tells whether the row lies below it.
     """
-    low, high = shred(base, ids), shred(over, ids)
-    place = [*ids, "at"]
-    meeting = (low.select(*place, F.col("kind").alias("low_kind"), F.col("ord").alias("low_ord"))
-               .join(high.select(*place, F.col("kind").alias("high_kind")), place))
-    meeting = checkpointed(meeting)
-    replaced = meeting.filter("low_kind <> 'object' or high_kind <> 'object'").select(*ids, F.col("at").alias("above"))
-    steps = F.regexp_extract_all("at", F.lit("/[^/]*"), F.lit(0))
-    above = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ""))
-    dead = (low.filter("depth > 0").select(*place, F.explode(above).alias("above"))
-            .join(replaced, [*ids, "above"], "left_semi").select(*place).distinct())
-    kept = low.join(high.select(place), place, "left_anti").join(dead, place, "left_anti")
+    sides = base.select(*ids, F.lit(False).alias("over"), "json").unionByName(over.select(*ids, F.lit(True).alias("over"), "json"))
+    nodes = shred(sides, [*ids, "over"]).repartition(*ids)  # both windows below keep this partitioning
+    here = Window.partitionBy(*ids, "at")
+    of_side = lambda column, is_over: F.max(F.when(F.col("over") == is_over, F.col(column))).over(here)
+    # Only below objects on both sides do two values meet; below a list everything is one side's.
+    in_objects = F.min((F.array_position("within", "array") == 0).cast("int")).over(here) == 1
+    rows = (nodes.withColumn("low_kind", of_side("kind", False)).withColumn("high_kind", of_side("kind", True))
+            .withColumn("low_ord", of_side("ord", False)).withColumn("in_objects", in_objects))
+    meets = F.col("in_objects") & F.col("low_kind").isNotNull() & F.col("high_kind").isNotNull()
+    replaced = meets & ~((F.col("low_kind") == "object") & (F.col("high_kind") == "object"))
+    # A separator below every character puts a place right before what lies under it.
+    so_far = Window.partitionBy(*ids).orderBy(F.replace("at", F.lit("/"), F.lit("\u0000"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("cut", F.last(F.when(replaced, F.col("at")), ignorenulls=True).over(so_far))
+    below_cut = F.coalesce(F.startswith("at", F.concat("cut", F.lit("/"))), F.lit(False))
+    kept = rows.filter(F.col("over") | (F.col("high_kind").isNull() & ~below_cut))
     # No position reaches this far, so new members come after all old ones.
     after = F.col("ord") + F.lit(1 << 40)
-    places = meeting.select(*place, "low_ord").join(dead, place, "left_anti")
-    newer = high.join(places, place, "left").withColumn("ord", F.coalesce("low_ord", after)).drop("low_ord")
-    return assemble(kept.unionByName(newer), ids)
+    place = F.when(F.col("over"), F.when(meets, F.col("low_ord")).otherwise(after)).otherwise(F.col("ord"))
+    return assemble(kept.withColumn("ord", place).drop("over", "low_kind", "high_kind", "low_ord", "in_objects", "cut"), ids)

@@ -1,9 +1,13 @@
+import json
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sdkatlas.functions import text as tx
 from sdkatlas.functions.brackets import argument_value, cut_balanced, innermost_identifier
-from sdkatlas.functions.jsontext import json_kind, key_order, member_json, quote
+from sdkatlas.functions.jsontext import json_kind, key_order, marked, member_json, quote, unmarked
 
 
 def column_of(spark, values, fn):
@@ -39,3 +43,24 @@ def test_json_members(spark):
     keys = ["x", "2XX", "201", "200", "01"]
     ordered = sorted(zip(column_of(spark, keys, lambda c: key_order(c, F.col("i"))), keys))
     assert [k for _, k in ordered] == ["200", "201", "x", "2XX", "01"]
+
+
+def test_member_types_come_from_the_text(spark):
+    """Also beside a repeated key, where no typed reader takes the object."""
+    values = ['"123"', "123", '"true"', "true", '"null"', "null", '"{}"', "{}", '"s"', '""', '"a\\\\"', '"q\\"x\\" : y"', '["1",1,"s"]', '{"k":"v","n":[{"z":"1"}]}', '"é\\u00e9"']
+    repeated = [f'{{"x":{{"a":1,"a":"2"}},"v":{v}}}' for v in values]
+    last = [f'{{"v":"first", "v" : {v} , "s":"v"}}' for v in values]
+    expected = [json.loads(v) for v in values]
+    for texts in (repeated, last):
+        found = column_of(spark, texts, lambda c: member_json(c, "v"))
+        assert [json.loads(f) for f in found] == expected
+
+
+@given(st.lists(st.dictionaries(st.text(max_size=5), st.recursive(
+    st.none() | st.booleans() | st.integers(-10**9, 10**9) | st.text(max_size=6), lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text(max_size=4), inner, max_size=3), max_leaves=8), max_size=3), min_size=1, max_size=20))
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+def test_marks_come_off_again(spark, documents):
+    texts = [json.dumps(d) for d in documents]
+    assert column_of(spark, texts, lambda c: unmarked(marked(c))) == texts
+    wrapped = [json.dumps({"v": d, "w": 1}) for d in documents]
+    assert [json.loads(f) for f in column_of(spark, wrapped, lambda c: member_json(c, "v"))] == documents
