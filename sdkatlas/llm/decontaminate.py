@@ -132,8 +132,16 @@ def contaminated() -> Column:
 
 
 def judge(documents: DataFrame, items: DataFrame) -> DataFrame:
-    found = find_hits(documents, items).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    """The verdict of every row. Rows that occur once have their own; only repeated ones are joined back to the table, where
+    adaptive execution splits a row with very many copies."""
+    found = common.saved(find_hits(documents, items), "judged")
+    own = found.filter("n_copies = 1")
+    repeated = common.saved(found.filter("n_copies > 1").withColumnsRenamed({"doc_id": "_id", "_text": "_key"}), "repeated")
+    if not repeated.isEmpty():
+        copies = documents.select("doc_id", F.xxhash64("text").alias("_text"))
+        again = copies.join(common.small(repeated), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))).drop("_id", "_key")
+        own = own.unionByName(again)
+    return own.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 def keep_clean(documents: DataFrame, items: DataFrame) -> DataFrame:

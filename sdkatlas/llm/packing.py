@@ -116,7 +116,7 @@ def make_plan(counts: dict[int, int], size: int = SIZE) -> Plan:
         left[n] = k
     chosen: list[tuple[tuple, int]] = []
     for _ in range(ROUNDS):
-        if left.sum() < 200:
+        if not left.any():
             break
         use = fractional(left.astype(float), size)
         for pattern, x in sorted(use.items(), key=lambda p: (-p[1], p[0])):

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,10 +24,10 @@ from sdkatlas.llm import common
 #: (host, path, verdict); a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 VOCABULARY = 50_000  # the commonest words, which are broadcast for the search (2 MB at most); others are joined with the parts of hosts
-LONGEST_WORD = 24
 TOKENS_KEPT = 100_000  # the commonest tokens, which are broadcast with their odds; others are joined with the pages' tokens
 HOSTS_SENT = 200_000  # a table of at most this many hosts may be broadcast
 HOST, PATH = "host:", "path:"
+LETTERS = re.compile("[a-z]+")
 SPLIT = re.compile(r"[^a-z0-9\x80-\U0010ffff]+")
 
 
@@ -64,7 +64,7 @@ def page_words(pages: DataFrame) -> DataFrame:
     """word, n: ASCII words of the pages' html outside tags, counted over all pages."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
-        word, tag = re.compile(rb"[a-z]{1,24}(?![a-z])"), re.compile(rb"<[^>]*>")
+        word, tag = re.compile(rb"[a-z]+"), re.compile(rb"<[^>]*>")
         for batch in batches:
             for html in batch["html"]:
                 for w in word.findall(tag.sub(b" ", html).lower()):
@@ -78,15 +78,22 @@ def page_words(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def segment(label: str, words: dict[str, float]) -> list[str]:
-    """The likeliest split of a label; a stretch of unknown letters costs a word and more for each letter."""
+def segment(label: str, words: Mapping[str, float], lengths: list[int] | None = None) -> list[str]:
+    """The likeliest split of a label into words of any of `lengths` (ascending; those of `words` where None); a stretch of unknown letters, however
+    long, costs a word and more for each letter. Of equal splits, that with the latest last word."""
+    lengths = sorted({len(w) for w in words}) if lengths is None else lengths
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown = (0.0, 0)  # where an unknown stretch best begins: cost there, plus what the letters before it would have cost
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            cost = words.get(label[start:end])
-            options.append((best[start][0] + (cost if cost is not None else -7.0 - 1.5 * (end - start)), start))
-        best.append(max(options, key=lambda o: (o[0], o[1])))
+        option = (unknown[0] - 7.0 - 1.5 * end, unknown[1])
+        for n in lengths:
+            if n > end:
+                break
+            cost = words.get(label[end - n:end])
+            if cost is not None:
+                option = max(option, (best[end - n][0] + cost, end - n))
+        best.append(option)
+        unknown = max(unknown, (option[0] + 1.5 * end, end))
     out, end = [], len(label)
     while end:
         out.append(label[best[end][1]:end])
@@ -111,6 +118,7 @@ def host_table(pages: DataFrame, ruled: DataFrame) -> DataFrame:
     head = {r["word"]: math.log10(r["n"] / total) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
     for word in ("www", "com", "org", "net"):
         head.setdefault(word, -5.0)
+    lengths = sorted({*map(len, head), *(r[0] for r in counts.select(F.length("word")).distinct().collect())})  # of all counted words
     shared = spark.sparkContext.broadcast(head)
     hosts = ruled.select("host").distinct()
 
@@ -121,11 +129,11 @@ def host_table(pages: DataFrame, ruled: DataFrame) -> DataFrame:
                 seen = set()
                 for label in labels_of(host):
                     for start in range(len(label)):
-                        for end in range(start + 1, min(start + LONGEST_WORD, len(label)) + 1):
-                            part = label[start:end]
-                            if not "a" <= part[-1] <= "z":
+                        for n in lengths:
+                            part = label[start:start + n]
+                            if len(part) < n:
                                 break
-                            if part not in seen and part not in shared.value:
+                            if part not in seen and part not in shared.value and LETTERS.fullmatch(part):
                                 seen.add(part)
                                 out.append((k, part))
                     if len(out) > 200_000:
@@ -139,7 +147,7 @@ def host_table(pages: DataFrame, ruled: DataFrame) -> DataFrame:
             for host, found in zip(batch["host"], batch["found"], strict=True):
                 own = {x["word"]: math.log10(x["n"] / total) for x in found} if found is not None else {}
                 words = ChainMap(own, shared.value) if own else shared.value
-                out.append(" ".join(w for label in labels_of(host) for w in segment(label, words)))
+                out.append(" ".join(w for label in labels_of(host) for w in segment(label, words, lengths)))
             yield pd.DataFrame({"host": batch["host"], "host_words": common.texts(out)})
 
     rows = common.saved(hosts.withColumn("k", F.monotonically_increasing_id()), "hosts")

@@ -187,6 +187,35 @@ def test_urls_learn_from_ruled_pages_alone(spark):
 def test_segmentation():
     words = {"cheap": -2.0, "pills": -2.0, "online": -2.5, "on": -1.5, "line": -2.0}
     assert urls.segment("cheappillsonline", words) == ["cheap", "pills", "online"]
+    assert urls.segment("donaudampfschifffahrtsgesellschaftonline", {**words, "donaudampfschifffahrtsgesellschaft": -4.0}) == ["donaudampfschifffahrtsgesellschaft", "online"]
+
+
+def test_segmentation_is_the_best_of_all():
+    """Against all splits, unknown stretches of any length included."""
+    rng = random.Random(6)
+    for _ in range(150):
+        words = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))): -rng.uniform(1, 9) for _ in range(6)}
+        label = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 10)))
+        cost = lambda part: max(words.get(part, -99.0), -7.0 - 1.5 * len(part))  # noqa: E731, B023
+        splits = lambda rest: [[]] if not rest else [[rest[:i], *more] for i in range(1, len(rest) + 1) for more in splits(rest[i:])]
+        found = urls.segment(label, words)
+        assert "".join(found) == label and abs(sum(map(cost, found)) - max(sum(map(cost, s)) for s in splits(label))) < 1e-9
+
+
+def test_long_page_words_are_whole(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    pages = spark.createDataFrame([(1, f"http://{long}reise.org/", f"<p>{long} reise</p>"), (1, f"http://{long}reise.org/", f"<p>{long}</p>"), (None, "http://reise.org", None)], "page_id long, url string, html string")
+    common.table(spark, SF, "pages")
+    assert {r["word"]: r["n"] for r in urls.page_words(pages).collect()} == {long: 2, "reise": 1}
+    assert sorted((str(r["page_id"]), r["host_words"]) for r in urls.filter_urls(pages).collect()) == [("1", f"{long} reise"), ("1", f"{long} reise"), ("None", "reise")]
+
+
+def test_verdicts_of_very_many_copies(spark, items):
+    """A third of all rows is one row; its copies come back from many tasks, and none is lost."""
+    common.table(spark, SF, "documents")
+    hot = spark.range(3000).selectExpr("if(id % 3 = 0, 7L, id) as doc_id", "if(id % 3 = 0, 'the cat sat on the mat and ate it all the cat sat', concat('own text ', id)) as text")
+    found = decontaminate.judge(hot.repartition(8), items)
+    assert found.filter("doc_id = 7 and contaminated").count() == 1000 and found.count() == 3000
 
 
 def test_languages(odd, spark):
