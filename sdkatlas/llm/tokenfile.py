@@ -1,10 +1,11 @@
 """Token ids in binary segments of patched frame-of-reference blocks.
 
-A segment holds whole documents in ascending doc_id order: a header, the documents' ids and lengths, the starts of the blocks, and the
-blocks. A block of BLOCK ids stores its minimum, packs the differences at the width that PERCENTILE of them need, and lists the high bits of the
-others as exceptions. Segments are rows of a table (part, segment, data) that Spark writes to the shared store; parts are ranges of doc_id.
+A segment holds whole documents in ascending doc_id order: a header, the documents' ids and lengths, a bit for each null id, the starts of the
+blocks, and the blocks. A block of BLOCK ids stores its minimum, packs the differences at the width that PERCENTILE of them need, and lists the high bits of the
+others as exceptions. Segments are rows of a table (part, segment, data) that Spark writes to the shared store; parts are ranges of (doc_id, place in
+the table), so that rows of one hot id fill many parts.
 
-Null and empty texts have the end id only. Null doc_ids come first. Rows with equal doc_id are ordered by their text and each keeps its place.
+Null and empty texts have the end id only. Null doc_ids come first. Rows with equal doc_id come as they stand in the table and each keeps its place.
 An empty table makes no segment. Only (part, tokens) totals, a row for each part, meet in one task for the running sum.
 """
 
@@ -26,10 +27,9 @@ BLOCK = 1024
 PERCENTILE = 95
 SEGMENT = 1 << 19  # ids; a document is never split, so a longer one has a segment of its own
 END = 0
-MAGIC = b"PFOR1\0"
+MAGIC = b"PFOR2\0"
 SEGMENTS = "part int, segment int, tokens long, start long, data binary"
 DOCUMENTS = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"
-_NO_ID = -(1 << 63)
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
@@ -87,9 +87,10 @@ def pack_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
     blocks = pack_blocks(flat) if len(flat) else []
     starts = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u8")
-    names = np.array([_NO_ID if d is None else d for d in doc_ids], dtype="<i8")
+    names = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
+    nameless = np.packbits(np.array([d is None for d in doc_ids], dtype=np.uint8), bitorder="little")
     lengths = np.array([len(x) // 4 for x in ids], dtype="<u8")
-    return b"".join([MAGIC, struct.pack("<QQQ", len(names), len(flat), len(blocks)), names.tobytes(), lengths.tobytes(), starts.tobytes(), *blocks])
+    return b"".join([MAGIC, struct.pack("<QQQ", len(names), len(flat), len(blocks)), names.tobytes(), lengths.tobytes(), nameless.tobytes(), starts.tobytes(), *blocks])
 
 
 def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -100,11 +101,14 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     at = 30
     names = np.frombuffer(data, "<i8", docs, at)
     lengths = np.frombuffer(data, "<u8", docs, at + 8 * docs)
-    starts = np.frombuffer(data, "<u8", blocks, at + 16 * docs)
-    ids = unpack_blocks(data, starts.astype(np.int64) + (at + 16 * docs + 8 * blocks))
+    at += 16 * docs
+    nameless = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs, bitorder="little")
+    at += -(-docs // 8)
+    starts = np.frombuffer(data, "<u8", blocks, at)
+    ids = unpack_blocks(data, starts.astype(np.int64) + (at + 8 * blocks))
     if len(ids) != total or lengths.sum() != total:
         raise ValueError("a token segment is not whole")
-    return [None if d == _NO_ID else int(d) for d in names], lengths.astype(np.int64), ids
+    return [None if no else int(d) for d, no in zip(names, nameless, strict=True)], lengths.astype(np.int64), ids
 
 
 def to_segments(documents: DataFrame, tokenizer: str) -> DataFrame:
@@ -129,7 +133,8 @@ def to_segments(documents: DataFrame, tokenizer: str) -> DataFrame:
         if names:
             yield row()
 
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    placed = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     return common.saved(ordered.mapInPandas(write, SEGMENTS), "tokens")
 
 

@@ -1,11 +1,16 @@
 """WARC archives: one gzip member per record, read back sequentially.
 
-Writing: each task makes an archive of its rows, in page_id order, as rows of one table (archive, chunk, data): the chunks of an archive in
-order are its bytes. Spark's writer puts them on the shared store, so an archive is as safe as any table. Of records with equal payloads
-the one with the largest page_id is the response, the others are revisit records that refer to it.
+Writing: each task makes archives of its rows, as they come, as rows of one table (archive, chunk, data): the chunks of an archive in
+order are its bytes. An archive that has reached ARCHIVE_BYTES is closed and the next one begins; each begins with a warcinfo record. Spark's
+writer puts them on the shared store, so an archive is as safe as any table. Of records with equal payloads the one with the largest page_id is
+the response, the others are revisit records that refer to it.
+
+Record ids are of the run, the archive and the record's number in it, so they don't repeat where a page_id does; the page ids stand in fields
+of their own. The table has no time of capture: WARC-Date is when the archives were written, in UTC.
 
 Reading: the chunks of an archive come in order; zlib decompresses them as they come, one member after the other, across chunk borders.
-A record's header ends at the empty line, Content-Length frames its block, and both digests are computed anew and compared.
+A record's header ends at the empty line, Content-Length frames its block, and both digests are computed anew and compared. Records
+that hold no page (warcinfo) give no row.
 
 Null html is an empty payload, which is deduplicated like any other. A repeated page_id with equal payload: every row is a record of its
 own; those with the largest page_id are responses. Null page_id: written as an empty field and read back as null. Empty table: no archive.
@@ -14,7 +19,9 @@ own; those with the largest page_id are responses. Null page_id: written as an e
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +33,7 @@ from pyspark.sql import functions as F
 from sdkatlas.llm import common
 
 CHUNK = 1 << 20
+ARCHIVE_BYTES = 256 << 20  # compressed; the record that reaches it is the archive's last
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
 GZIP = 16 + zlib.MAX_WBITS
@@ -38,35 +46,76 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def now() -> str:
+    return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def framed(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One WARC/1.1 record: header, empty line, block, two empty lines."""
-    revisit = refers_to is not None
+    fields = [*fields, ("Content-Length", str(len(block)))]
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + block + b"\r\n\r\n"
+
+
+def archive_head(name: str, identity: uuid.UUID, date: str) -> bytes:
+    """The warcinfo record that an archive begins with."""
+    block = b"software: sdkatlas\r\nformat: WARC File Format 1.1\r\n"
+    return framed([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{identity.urn}>"), ("WARC-Date", date), ("WARC-Filename", name),
+                   ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", f"sha1:{digest(block)}")], block)
+
+
+def one_line(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None,
+           identity: uuid.UUID | None = None, date: str | None = None) -> bytes:
+    """The record of a page; a new id and the present time where none are given."""
+    revisit, date = refers_to is not None, date or now()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    name = "" if page_id is None else str(page_id)
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Target-URI", uri),
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{(identity or uuid.uuid4()).urn}>"), ("WARC-Date", date),
+              ("WARC-Target-URI", one_line(url)), ("X-Page-ID", "" if page_id is None else str(page_id)),
               ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Block-Digest", f"sha1:{digest(block)}")]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    fields.append(("Content-Length", str(len(block))))
-    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + block + b"\r\n\r\n"
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", one_line(refers_url)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", str(refers_to))]
+    return framed(fields, block)
+
 
+def member(data: bytes) -> bytes:
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
+    return packer.compress(data) + packer.flush()
 
-def write_archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """page_id, url, payload, refers_to rows of one task to the chunks of its archive."""
-    name = f"pages-{TaskContext.get().partitionId():08d}.warc.gz"
-    chunk, held = 0, bytearray()
-    for batch in batches:
-        for page_id, url, payload, refers_to in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
-            packer = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-            whole = lambda x: None if pd.isna(x) else int(x)
-            held += packer.compress(record(whole(page_id), url, payload, whole(refers_to))) + packer.flush()
+
+def archive_writer(run: uuid.UUID, date: str, limit: int = ARCHIVE_BYTES):
+    """page_id, url, payload, refers_to, refers_url rows of one task to the chunks of its archives."""
+    whole = lambda x: None if pd.isna(x) else int(x)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], batch["refers_url"], strict=True)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number, written, chunk, held, name = TaskContext.get().partitionId(), 0, 0, 0, bytearray(), ""
+        row = lambda data: pd.DataFrame({"archive": common.texts([name]), "chunk": [chunk], "data": [bytes(data)]})
+        records = 0
+        for page_id, url, payload, refers_to, refers_url in rows(batches):
+            if not records:
+                name = f"pages-{part:08d}-{number:06d}.warc.gz"
+                held += member(archive_head(name, uuid.uuid5(run, name), date))
+            identity = uuid.uuid5(run, f"{name}/{records}")
+            held += member(record(whole(page_id), url, payload, whole(refers_to), refers_url, identity, date))
+            records += 1
             while len(held) >= CHUNK:
-                yield pd.DataFrame({"archive": common.texts([name]), "chunk": [chunk], "data": [bytes(held[:CHUNK])]})
-                chunk, held = chunk + 1, held[CHUNK:]
-    if held:
-        yield pd.DataFrame({"archive": common.texts([name]), "chunk": [chunk], "data": [bytes(held)]})
+                yield row(held[:CHUNK])
+                written, chunk, held = written + CHUNK, chunk + 1, held[CHUNK:]
+            if written + len(held) >= limit:
+                if held:
+                    yield row(held)
+                number, written, chunk, held, records = number + 1, 0, 0, bytearray(), 0
+        if held:
+            yield row(held)
+
+    return write
 
 
 def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -84,8 +133,8 @@ def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("an archive ends inside a gzip member")
 
 
-def parse(member: bytes) -> tuple:
-    """A record's fields as RECORD names them."""
+def parse(member: bytes) -> tuple | None:
+    """A page's fields as RECORD names them; None for a whole record that holds no page."""
     head, _, rest = member.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
@@ -93,13 +142,17 @@ def parse(member: bytes) -> tuple:
     if not version.startswith("WARC/") or rest[length:] != b"\r\n\r\n":
         raise ValueError("not a WARC record, or Content-Length does not frame it")
     block = rest[:length]
+    if fields["warc-type"] == "warcinfo":
+        if fields["warc-block-digest"] != f"sha1:{digest(block)}":
+            raise ValueError("an archive's first record is damaged")
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     declared = int(http.rpartition(b"Content-Length: ")[2])
-    number = lambda name: int(v[10:-1]) if len(v := fields.get(name, "")) > 11 else None
+    number = lambda name: int(v) if (v := fields.get(name)) else None
     response = fields["warc-type"] == "response"
     claimed = fields["warc-payload-digest"].removeprefix("sha1:")
     intact = fields["warc-block-digest"] == f"sha1:{digest(block)}" and (not response or (claimed == digest(payload) and declared == len(payload)))
-    return number("warc-record-id"), declared, claimed, fields["warc-type"], number("warc-refers-to"), fields["warc-target-uri"], intact
+    return number("x-page-id"), declared, claimed, fields["warc-type"], number("x-refers-to-page"), fields["warc-target-uri"], intact
 
 
 def read_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +179,8 @@ def read_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 item = next(stream, None)
 
         for member in members(chunks()):
-            rows.append(parse(member))
+            if (page := parse(member)) is not None:
+                rows.append(page)
             if len(rows) >= 2000:
                 yield frame(rows)
                 rows = []
@@ -134,17 +188,18 @@ def read_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame(rows)
 
 
-def to_archives(pages: DataFrame) -> DataFrame:
+def to_archives(pages: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives of page_id, url, html rows, saved. Only payload digests that occur twice are joined; their rows are the hot ones, and
     adaptive execution splits a hot digest, since the other side has one row for it."""
     rows = pages.select("page_id", "url", common.utf8(F.col("html")).alias("payload"))
     keyed = rows.withColumn("_digest", F.sha1("payload"))
-    groups = keyed.filter(F.length("payload") >= LEAST_REVISIT).groupBy("_digest").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n"))
-    groups = groups.filter("_n > 1").select(F.col("_digest").alias("_known"), "_largest")
+    groups = keyed.filter(F.length("payload") >= LEAST_REVISIT).groupBy("_digest").agg(
+        F.max("page_id").alias("_largest"), F.max_by("url", F.struct("page_id", "url")).alias("_url"), F.count(F.lit(1)).alias("_n"))
+    groups = groups.filter("_n > 1").select(F.col("_digest").alias("_known"), "_largest", F.col("_url").alias("refers_url"))
     joined = keyed.join(groups, F.col("_digest") == F.col("_known"), "left")
     refers = F.when(F.col("_largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_largest")), F.col("_largest"))
-    parts = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
-    return common.saved(parts.mapInPandas(write_archive, ARCHIVE), "warc")
+    parts = joined.select("page_id", "url", "payload", refers.alias("refers_to"), "refers_url")
+    return common.saved(parts.mapInPandas(archive_writer(uuid.uuid4(), now(), limit), ARCHIVE), "warc")
 
 
 def read_records(archives: DataFrame) -> DataFrame:

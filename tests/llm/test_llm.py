@@ -99,6 +99,25 @@ def test_token_file(odd):
         at += r["n_tokens"]
 
 
+def test_token_file_splits_a_hot_id(spark, request):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # or so few rows would come back as one part
+    request.addfinalizer(lambda before=spark.conf.get(setting): spark.conf.set(setting, before))
+    spark.conf.set(setting, "false")
+    least = -(1 << 63)
+    texts = [(7 if i % 3 else i, f"row {i} of the table") for i in range(3000)] + [(least, "least id"), (None, "none"), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    segments = tokenfile.to_segments(docs, tokens.default_path())
+    found = sorted(tokenfile.read_documents(segments).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == sorted((i for i, _ in texts), key=lambda i: (i is not None, i))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(found, found[1:]))
+    encoder = tokens.encoder(tokens.default_path())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in found) == Counter((i, zlib.crc32(encoder.whole(t or "") + struct.pack("<I", 0))) for i, t in texts)
+    parts = Counter()
+    for r in segments.collect():
+        parts[r["part"]] += tokenfile.unpack_segment(r["data"])[0].count(7)
+    assert max(parts.values()) < 1200  # of 2000
+
+
 def check_packing(found, texts):
     encoder = tokens.encoder(tokens.default_path())
     places, pieces = {}, {}
@@ -152,6 +171,30 @@ def test_warc_damage_is_found():
         list(warc.members(iter(chunks[:-1])))
 
 
+def test_warc_archives_are_closed_at_a_size(spark):
+    rng = random.Random(2)
+    table = [(i % 50 if i % 7 else None, f"http://h/{i}", "same" if i % 3 == 0 else rng.randbytes(3000).hex()) for i in range(300)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string").coalesce(2)
+    archives = warc.to_archives(pages, limit=100_000)
+    data, ids, kinds = {}, [], Counter()
+    for r in archives.orderBy("archive", "chunk").collect():
+        data.setdefault(r["archive"], []).append(bytes(r["data"]))
+    assert len(data) > 5 and max(sum(map(len, chunks)) for chunks in data.values()) < 110_000
+    for name, chunks in data.items():
+        heads = [m.partition(b"\r\n\r\n")[0].decode() for m in warc.members(iter(chunks))]
+        fields = [dict(line.split(": ", 1) for line in h.split("\r\n")[1:]) for h in heads]
+        assert fields[0]["WARC-Type"] == "warcinfo" and fields[0]["WARC-Filename"] == name
+        assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) for f in fields)
+        ids += [f["WARC-Record-ID"] for f in fields]
+        kinds.update(f["WARC-Type"] for f in fields)
+        assert all(f["WARC-Refers-To-Target-URI"] and f["WARC-Refers-To-Date"] for f in fields if f["WARC-Type"] == "revisit")
+    assert len(ids) == len(set(ids)) == 300 + len(data) and kinds["warcinfo"] == len(data)
+    largest = max(i for i, _, h in table if h == "same" and i is not None)
+    want = Counter((i, len(h), largest if h == "same" and i != largest else None) for i, _, h in table)
+    found = warc.read_records(archives).collect()
+    assert Counter((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in found) == want and all(r["intact"] for r in found)
+
+
 def test_urls(spark):
     cases = {"http://A.Example.com/en/1?x": ("a.example.com", "/en/1", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
              "x://b.net/es/#f": ("b.net", "/es/", "net/es/", "block"), "ftp://q.com?u/": ("q.com", "", None, None), "no scheme": ("", "", None, "allow"), "http://mycom/": ("mycom", "/", None, None), "http://z.com/a": ("z.com", "/a", "com/", "allow")}
