@@ -1,15 +1,14 @@
 """WARC archives: one gzip member per record, read back sequentially.
 
 Writing: each task makes archives of its rows, as they come, as rows of one table (archive, chunk, data): the chunks of an archive in
-order are its bytes. An archive that has reached ARCHIVE_BYTES is closed and the next one begins; each begins with a warcinfo record. Spark's
+order are its bytes, and each holds whole gzip members. An archive that has reached ARCHIVE_BYTES is closed and the next one begins; each begins with a warcinfo record. Spark's
 writer puts them on the shared store, so an archive is as safe as any table. Of records with equal payloads the one with the largest page_id is
 the response, the others are revisit records that refer to it.
 
 Record ids are of the run, the archive and the record's number in it, so they don't repeat where a page_id does; the page ids stand in fields
 of their own. The table has no time of capture: WARC-Date is when the archives were written, in UTC.
 
-Reading: the chunks of an archive come in order; zlib decompresses them as they come, one member after the other, across chunk borders.
-A record's header ends at the empty line, Content-Length frames its block, and both digests are computed anew and compared. Records
+Reading: every chunk is read where it lies, without a shuffle; zlib decompresses it bit by bit, one member after the other. A record's header ends at the empty line, Content-Length frames its block, and both digests are computed anew and compared. Records
 that hold no page (warcinfo) give no row.
 
 Null html is an empty payload, which is deduplicated like any other. A repeated page_id with equal payload: every row is a record of its
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 
 from sdkatlas.llm import common
 
-CHUNK = 1 << 20
+CHUNK = 1 << 20  # compressed; the record that reaches it is the chunk's last
+SLICE = 1 << 16  # what a reader decompresses at a time
 ARCHIVE_BYTES = 256 << 20  # compressed; the record that reaches it is the archive's last
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
@@ -105,13 +105,11 @@ def archive_writer(run: uuid.UUID, date: str, limit: int = ARCHIVE_BYTES):
             identity = uuid.uuid5(run, f"{name}/{records}")
             held += member(record(whole(page_id), url, payload, whole(refers_to), refers_url, identity, date))
             records += 1
-            while len(held) >= CHUNK:
-                yield row(held[:CHUNK])
-                written, chunk, held = written + CHUNK, chunk + 1, held[CHUNK:]
-            if written + len(held) >= limit:
-                if held:
-                    yield row(held)
-                number, written, chunk, held, records = number + 1, 0, 0, bytearray(), 0
+            if len(held) >= min(CHUNK, limit - written):
+                yield row(held)
+                written, chunk, held = written + len(held), chunk + 1, bytearray()
+            if written >= limit:
+                number, written, chunk, records = number + 1, 0, 0, 0
         if held:
             yield row(held)
 
@@ -156,36 +154,24 @@ def parse(member: bytes) -> tuple | None:
 
 
 def read_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunks (archive, chunk, data), sorted within the task, to records."""
+    """Chunks (archive, chunk, data) to records."""
     names = [c.split()[0] for c in RECORD.split(", ")]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
         return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_digest": object, "record_type": object, "url": object})
 
-    def archives() -> Iterator[tuple[str, bytes]]:
-        for batch in batches:
-            yield from zip(batch["archive"], batch["data"], strict=True)
-
-    stream = archives()
-    item = next(stream, None)
-    while item is not None:
-        name, rows = item[0], []
-
-        def chunks() -> Iterator[bytes]:
-            nonlocal item
-            while item is not None and item[0] == name:  # noqa: B023
-                yield item[1]
-                item = next(stream, None)
-
-        for member in members(chunks()):
-            if (page := parse(member)) is not None:
-                rows.append(page)
-            if len(rows) >= 2000:
-                yield frame(rows)
-                rows = []
-        if rows:
-            yield frame(rows)
+    rows = []
+    for batch in batches:
+        for data in batch["data"]:
+            for record_bytes in members(data[at:at + SLICE] for at in range(0, len(data), SLICE)):
+                if (page := parse(record_bytes)) is not None:
+                    rows.append(page)
+                if len(rows) >= 2000:
+                    yield frame(rows)
+                    rows = []
+    if rows:
+        yield frame(rows)
 
 
 def to_archives(pages: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
@@ -203,8 +189,8 @@ def to_archives(pages: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """One archive is read by one task, in chunk order."""
-    return archives.repartition("archive").sortWithinPartitions("archive", "chunk").mapInPandas(read_archives, RECORD)
+    """The pages' records of archives as to_archives writes them."""
+    return archives.mapInPandas(read_archives, RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
