@@ -20,12 +20,19 @@ _TAIL = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
 #: How byte-level models write bytes: visible Latin-1 characters stand for themselves, the others for characters from 256 on.
 _SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _VISIBLE = {b: b if b in _SEEN else 256 + b - sum(x < b for x in _SEEN) for b in range(256)}
+_SPACE_SEEN = chr(_VISIBLE[32])
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: White space beside a space, or a space at an end.
-_ODD = re.compile(r" (?:\s|\Z)|\s(?<=[^ ]) |\A ")
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(17)]
 KEPT = 550_000
 LONGEST_KEPT = 64
 
+
+def odd(text: str) -> bool:
+    """Whether there is white space beside a space, or a space at an end. Searches for single characters cost next to nothing."""
+    return text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE)
+
+
 class Encoder(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -46,11 +53,13 @@ class Encoder(dict):
             return self._keep(piece, found)
         if "\n" in piece and len(lines := _BREAK.split(piece)) > 1:
             return self["\n"].join([self[line] for line in lines])
-        if (parts := _TAIL.fullmatch(piece)) and parts[1].strip(" ").isalpha():
+        if (piece[1:] if piece[:1] == " " else piece).isalpha():  # the split leaves these whole: the model alone is enough
+            seen = piece.replace(" ", _SPACE_SEEN) if piece.isascii() else piece.encode().decode("latin-1").translate(_VISIBLE)
+            found = _raw([t.id for t in self.model.tokenize(seen)])
+        elif (parts := _TAIL.fullmatch(piece)) and parts[1].strip(" ").isalpha():
             found = self[parts[1]] + self[parts[2]]
-            return self._keep(piece, found)
-        letters = (piece[1:] if piece[:1] == " " else piece).isalpha()  # the split leaves these whole: the model alone is enough
-        found = _raw([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))]) if letters else self.whole(piece)
+        else:
+            found = self.whole(piece)
         return self._keep(piece, found)
 
     def _keep(self, piece: str, found: bytes) -> bytes:
@@ -65,7 +74,7 @@ class Encoder(dict):
         """All ids of a text; none for null."""
         if not text:
             return b""
-        if "\0" in text or _ODD.search(text):
+        if "\0" in text or odd(text):
             first, *rest = _SPACE.split(text)
             pieces = [first, *[" " + r for r in rest]]
         else:  # single spaces between other characters only
@@ -74,7 +83,7 @@ class Encoder(dict):
 
 
 def _raw(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> Encoder:

@@ -80,6 +80,16 @@ def test_tokens_equal_the_librarys(spark):
     assert all(encoder.ids(t) == encoder.whole(t) for t in texts)
 
 
+def test_odd_spaces():
+    rng = random.Random(5)
+    pattern = re.compile(r" (?:\s|\Z)|\s(?<=[^ ]) |\A ")
+    texts = ["".join(rng.choices("ab \n\t\x1f\x85\u2003\u3000", [9, 9, 6, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 9))) for _ in range(20_000)]
+    assert all(tokens.odd(t) == bool(pattern.search(t)) for t in texts)
+    encoder = tokens.encoder(tokens.default_path())
+    assert all(encoder.ids(t) == encoder.whole(t) for t in texts[:4000])
+    assert [c for c in map(chr, range(0x110000)) if c.isspace() and c != " "] == tokens._WHITE
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for ids in ([], [0], [5] * 3000, rng.integers(0, 50_000, 5000), np.r_[rng.integers(0, 9, 2000), 2**32 - 1, 2**31]):
