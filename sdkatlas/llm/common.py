@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many narrow rows (some 20 bytes each, so 40 MB) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: An Arrow batch of whole texts that a step of the pipeline sends to Python; a task holds a few copies of it (rows, Arrow, Python, the next one).
+BATCH_BYTES = 4 << 20
 #: ASCII letters only: the contracts lower-case A-Z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,6 +43,16 @@ def saved(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """`rows`, after the session's Arrow batches were bounded by BATCH_BYTES (a smaller bound stays): what tasks hold follows neither the number
+    of rows in a batch nor their length. The bound is Spark's own setting and stays set, since a frame is run after the call that makes it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", rows.sparkSession.conf.get(key))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        rows.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return rows
+
+
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`rows` (narrow, and saved before) hinted for broadcast if there are at most `limit` of them, else as they are."""
     return F.broadcast(rows) if rows.count() <= limit else rows

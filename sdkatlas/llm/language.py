@@ -185,7 +185,7 @@ def identify_languages(documents: DataFrame) -> DataFrame:
 
 def keep_known(documents: DataFrame) -> DataFrame:
     """The documents whose language was found, with their own columns: texts without letters go, and those of which no language has REJECTED."""
-    names = documents.columns
+    names = common.bounded_batches(documents).columns
     model = fit_documents(documents)
     found = documents.select(F.struct(*names).alias("_doc"), language_of(documents.sparkSession, model, F.col("text")).alias("_found"))
     return found.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= REJECTED)).select("_doc.*")

@@ -139,12 +139,12 @@ def make_plan(counts: dict[int, int], size: int = SIZE) -> Plan:
     return Plan({n: np.array(r, dtype=np.int64) for n, r in runs.items()}, sequences)
 
 
-def to_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
+def to_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, kept: int = tokens.KEPT) -> DataFrame:
     """Encode and cut, saved; a piece's rank is among those of its length in its task."""
     end = END.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, ranks, encode = TaskContext.get().partitionId(), Counter(), tokens.encoder(tokenizer)
+        part, ranks, encode = TaskContext.get().partitionId(), Counter(), tokens.encoder(tokenizer, kept)
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
             rows = []
@@ -161,9 +161,10 @@ def to_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFra
     return common.saved(documents.select("doc_id", "text").mapInPandas(cut, PIECES), "pieces")
 
 
-def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, kept: int = tokens.KEPT) -> DataFrame:
+    """`kept`: entries of a worker's table of encoded words; fewer take less memory and more time, the result is the same."""
     spark = documents.sparkSession
-    pieces = to_pieces(documents, tokenizer)
+    pieces = to_pieces(common.bounded_batches(documents), tokenizer, kept=kept)
     groups = common.saved(pieces.filter(F.col("length") < SIZE).groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {int(r[0]): int(r[1]) for r in groups.groupBy("length").agg(F.sum("n")).collect()}
     plan = spark.sparkContext.broadcast(make_plan(counts))

@@ -109,7 +109,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that the rules and their host's verdict keep, with their own columns."""
-    names = documents.columns
+    names = common.bounded_batches(documents).columns
     counted = with_base_rules(documents.select(F.struct(*names).alias("_doc"), F.col("source"), text_counts(F.col("text")).alias("_counts")))
     kept = judged(common.saved(counted, "quality")).filter("kept")
     return kept.select("_doc.*")

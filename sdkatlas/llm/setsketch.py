@@ -317,7 +317,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component, with its own columns: that of the least doc_id, null last. Rows without words all stay. Rows are told apart by
     doc_id and text, so a null or repeated doc_id loses no other text; of rows equal in both, any one stays."""
-    sketches, of_class = grouped(documents)
+    sketches, of_class = grouped(common.bounded_batches(documents))
     told = sketches.filter("n_shingles > 0").join(of_class, F.col("class") == F.col("_class"))
     own = common.saved(told.groupBy("label", "doc_id", "k0", "k1").agg(F.count(F.lit(1)).alias("n")), "component-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")).alias("first")

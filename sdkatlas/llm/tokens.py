@@ -36,13 +36,14 @@ def odd(text: str) -> bool:
 class Encoder(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
+        self.kept = kept
 
     def whole(self, text: str) -> bytes:
         """The library's own answer."""
@@ -64,7 +65,7 @@ class Encoder(dict):
 
     def _keep(self, piece: str, found: bytes) -> bytes:
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= KEPT:  # what was looked up lately comes back from `old`
+            if len(self) >= self.kept:  # what was looked up lately comes back from `old`
                 self.old = dict(self)
                 self.clear()
             self[piece] = found
@@ -86,9 +87,9 @@ def _raw(ids: list[int]) -> bytes:
     return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encoder(path: str) -> Encoder:
-    """The Python worker's encoder for a tokenizer file; other operators' tasks free it."""
-    return common.held(f"tokens {path}", lambda: Encoder(path))
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """The Python worker's encoder for a tokenizer file, with a table of `kept` entries twice; other operators' tasks free it."""
+    return common.held(f"tokens {kept} {path}", lambda: Encoder(path, kept))
 
 
 def default_path() -> str:

@@ -155,6 +155,24 @@ def test_packing_odd_rows(odd):
     assert packing.pack(odd, tokens.default_path()).filter("doc_id is null").count() == 1
 
 
+def test_batches_are_bounded_and_small_tables_change_nothing(spark, odd):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.createDataFrame([(i, f"word{i} " * 2000) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    sizes = lambda batches: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in batches)
+    try:
+        spark.conf.set(key, "64m")
+        found = [r["n"] for r in common.bounded_batches(texts).mapInPandas(sizes, "n long").collect()]
+        assert sum(found) == texts.selectExpr("sum(length(text))").first()[0] and len(found) > 3 and max(found) <= 1.1 * common.BATCH_BYTES
+        spark.conf.set(key, "1000")
+        assert spark.conf.get(key) == "1000" and common.bounded_batches(texts) is texts and spark.conf.get(key).rstrip("b") == "1000"
+    finally:
+        spark.conf.set(key, before)
+    unique = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    whole, small = (rows(packing.pack(unique, tokens.default_path(), kept=n), "doc_id", "piece", "ids_crc32") for n in (tokens.KEPT, 3))
+    assert whole == small
+
+
 def test_packing_is_near_its_bound(spark):
     docs = common.table(spark, SF, "documents")
     found = packing.pack(docs, tokens.default_path()).collect()
