@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from sdkatlas.llm import common, decontaminate, language, packing, quality, setsketch, tokens
 
 
+#: Entries of a worker's table of encoded words, less than packing's own: the workers of the stages before it hold memory, too.
+ENCODED_WORDS = 200_000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter and texts of no clear language go."""
     return language.keep_known(docs)
@@ -33,7 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces with their places in sequences."""
-    return packing.pack(docs, tokens.default_path())
+    return packing.pack(docs, tokens.default_path(), kept=ENCODED_WORDS)
 
 
 STAGES = [
