@@ -12,7 +12,7 @@ from sdkatlas.llm import common, decontaminate, language, packing, quality, sets
 
 
 #: Entries of a worker's table of encoded words, less than packing's own: the workers of the stages before it hold memory, too.
-ENCODED_WORDS = 200_000
+ENCODED_WORDS = 100_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
