@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sdkatlas.functions.jsontext import quote
+from sdkatlas.functions.rows import joined
 from sdkatlas.functions.text import (
     bind, camel_to_snake, pascal_case, placeholders, screaming_snake, snake_to_camel, strip_schema_prefix,
 )
@@ -75,7 +76,7 @@ def resolved_nodes(endpoints: DataFrame, components: DataFrame, languages: DataF
     """Resolved nodes of all schemas in use, with usage, language and kind."""
     roots = checkpointed(roots_of(schemas_in_use(endpoints)))
     nodes = resolve(roots, components, SLOTS).withColumn("kind", infer_kind(F.col("type"), F.col("enum")))
-    return checkpointed(nodes.join(roots.select(*ROOT, "usage"), ROOT).join(languages.select("repo_id", "language"), "repo_id"))
+    return checkpointed(joined(joined(nodes, roots.select(*ROOT, "usage"), ROOT), languages.select("repo_id", "language"), "repo_id"))
 
 
 def _steps(path: Column) -> Column:
@@ -96,14 +97,14 @@ def reachable(nodes: DataFrame) -> DataFrame:
     """Nodes the renderer visits, with their parent: every step from the root must be one it takes."""
     parents = nodes.select(*ROOT, F.col("path").alias("parent_path"), F.struct(
         "path", "kind", "ref_name", "has_properties", "property_count", "required", "language").alias("parent"))
-    steps = nodes.filter("path <> ''").join(parents, [*ROOT, "parent_path"]).withColumn("taken", _descent("parent"))
+    steps = joined(nodes.filter("path <> ''"), parents, [*ROOT, "parent_path"]).withColumn("taken", _descent("parent"))
     taken = steps.filter("taken").drop("taken")
     # Only nodes two or more steps down can hang below a step that is not taken.
     above = F.transform(F.sequence(F.lit(1), F.size(_steps(F.col("path"))) - 1), lambda i: F.array_join(F.slice(_steps(F.col("path")), F.lit(1), i), ""))
-    blocked = (taken.filter("parent_path <> ''").select(*ROOT, "path", F.explode(above).alias("above"))
-               .join(steps.filter("not taken").select(*ROOT, F.col("path").alias("above")), [*ROOT, "above"], "left_semi")
+    ways = taken.filter("parent_path <> ''").select(*ROOT, "path", F.explode(above).alias("above"))
+    blocked = (joined(ways, steps.filter("not taken").select(*ROOT, F.col("path").alias("above")), [*ROOT, "above"], "left_semi")
                .select(*ROOT, "path").distinct())
-    return taken.join(blocked, [*ROOT, "path"], "left_anti")
+    return joined(taken, blocked, [*ROOT, "path"], "left_anti")
 
 
 def catalog(nodes: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def with_nested_json(fields: DataFrame) -> DataFrame:
         else:
             nested = F.concat(F.lit(',"nested":{"fieldSeparator":'), quote(separator(F.col("language"))), F.lit(',"fields":['), F.col("inner_fields"),
                               F.lit('],"wrap":'), quote(F.col("wrap")), F.lit("}"))
-            level = level.join(below, [*ROOT, "path"], "left").withColumn("extras", F.concat(
+            level = joined(level, below, [*ROOT, "path"], "left").withColumn("extras", F.concat(
                 "own", F.coalesce(F.concat(F.lit(',"items":'), "item"), F.lit("")), F.coalesce(nested, F.lit(""))))
         done = level.filter(is_top()) if depth == deepest else done.unionByName(level.filter(is_top()), allowMissingColumns=True)
         json = field_json(F.col("field_template"), F.col("extras"))
@@ -200,15 +201,14 @@ def top_fields(endpoints: DataFrame, fields: DataFrame) -> DataFrame:
     about = [*ENDPOINT_KEY, "http_method", "http_path", "language", "body_kwarg_by_json_key"]
     top = fields.filter(is_top())
 
-    body = (endpoints.select(*about, F.col("body_root").alias("root_id"))
-            .join(top.filter("usage = 'body'").drop("language", "usage"), ROOT)
+    body = (joined(endpoints.select(*about, F.col("body_root").alias("root_id")), top.filter("usage = 'body'").drop("language", "usage"), ROOT)
             .select(*about, F.lit(0).alias("part"), "group", "ord", "root_id", "path", "json_key", *keep))
     asked = (endpoints.filter("folds_query").select(*about, F.posexplode("query_params").alias("pos", "param"))
              .select(*about, "pos", F.col("param.name").alias("json_key"), F.col("param.required").alias("is_required"),
                      root_id(F.lit(FIELD), F.col("param.schema")).alias("root_id"), F.col("param.schema").isNotNull().alias("has_schema"))
              .withColumn("root_id", F.when(F.col("has_schema"), F.col("root_id"))))
     roots = top.filter("usage = 'field'").drop("language", "usage", "required", "group", "ord", "json_key", "field_template")
-    query = (asked.join(roots, ROOT, "left")
+    query = (joined(asked, roots, ROOT, "left")
              .withColumn("kind", F.coalesce("kind", F.lit("object"))).withColumn("required", F.col("is_required"))
              .withColumn("passthrough", F.lit(False)))
     if "extras" in keep:
@@ -237,12 +237,12 @@ def with_params(endpoints: DataFrame, kinds: DataFrame) -> DataFrame:
     asked = endpoints.select(*ENDPOINT_KEY, "http_path", F.posexplode("path_params").alias("pos", "param"))
     kind_of = kinds.filter("usage = 'field'").select(*ROOT, "kind")
     # As many rows per endpoint as it has parameters.
-    known = (asked.withColumn("root_id", root_id(F.lit(FIELD), F.col("param.schema"))).join(kind_of, ROOT, "left")
+    known = (joined(asked.withColumn("root_id", root_id(F.lit(FIELD), F.col("param.schema"))), kind_of, ROOT, "left")
              .groupBy(*ENDPOINT_KEY).agg(F.sort_array(F.collect_list(F.struct(
                  "pos", F.col("param.name").alias("name"),
                  F.when(F.col("param.schema").isNull(), "object").otherwise(F.coalesce("kind", F.lit("object"))).alias("kind")))).alias("declared")))
     none = F.array().cast("array<struct<name:string,kind:string>>")
-    return (endpoints.join(known, ENDPOINT_KEY, "left")
+    return (joined(endpoints, known, ENDPOINT_KEY, "left")
             .withColumn("params", F.coalesce(params_in_url_order(F.col("declared"), F.col("http_path")), none)).drop("declared"))
 
 
@@ -252,8 +252,8 @@ def with_shape(endpoints: DataFrame, kinds: DataFrame) -> DataFrame:
     Adds `body_root`, `is_passthrough`, `has_body`, `folds_query`, `drops_query`, `java_unrenderable`.
     """
     body_kind = kinds.filter("usage = 'body'").select("repo_id", F.col("root_id").alias("body_root"), "property_count")
-    shaped = (endpoints.withColumn("body_root", F.when(F.col("body_schema").isNotNull(), root_id(F.lit(BODY), F.col("body_schema"))))
-              .join(body_kind, ["repo_id", "body_root"], "left"))
+    rooted = endpoints.withColumn("body_root", F.when(F.col("body_schema").isNotNull(), root_id(F.lit(BODY), F.col("body_schema"))))
+    shaped = joined(rooted, body_kind, ["repo_id", "body_root"], "left")
     has_query = F.size("query_params") > 0
     passthrough = F.coalesce(F.col("property_count") == 0, F.lit(False))
     blocked = passthrough | F.col("body_wrapper_key").isNotNull()
@@ -312,7 +312,7 @@ def render_schemas(endpoints: DataFrame, nodes: DataFrame) -> DataFrame:
     params = F.array_join(F.transform("params", lambda p: F.concat(
         F.lit('{"name":'), quote(p["name"]), F.lit(',"kind":"'), p["kind"], F.lit('"}'))), ",")
     body = F.concat(F.lit(',"body":{"fieldSeparator":'), quote(separator(F.col("language"))), F.lit(',"fields":['), F.array_join(F.col("list.json"), ","), F.lit("]}"))
-    return (shaped.join(bodies, ENDPOINT_KEY, "left")
+    return (joined(shaped, bodies, ENDPOINT_KEY, "left")
             .withColumn("render", F.concat(F.lit('{"callTemplate":'), quote(F.col("call_template")), F.lit(',"params":['), params, F.lit("]"),
                                            F.when(F.col("has_body"), body).otherwise(""), F.lit("}")))
             .drop("list"))

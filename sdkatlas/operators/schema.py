@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sdkatlas.functions.jsontext import key_order, once
-from sdkatlas.functions.rows import keep
+from sdkatlas.functions.rows import joined, keep
 from sdkatlas.functions.text import bind, first_group
 from sdkatlas.session import checkpointed
 
@@ -192,7 +192,7 @@ def _graft(frontier: DataFrame, own: DataFrame) -> DataFrame:
     named = frontier.withColumn("name", first_group(F.col("ref"), r"\A#/components/schemas/(.+)\z"))
     named = named.withColumn("unit", F.when(~F.array_contains("visited", F.col("name")), F.col("name")))
     moved = own.select(*UNIT, F.struct(*_FIELDS).alias("own"))
-    joined = named.join(moved, UNIT, "left")
+    rows = joined(named, moved, UNIT, "left")
     at, node = {n: F.col(n) for n in _FIELDS}, {n: F.col("own")[n] for n in _FIELDS}
     marker = {**at, "open": F.lit(False), "ref": F.lit(None), "ref_name": F.coalesce("ref_name", "name"), "visited": F.lit(None),
               "in_allof": F.size("chain") > 0, "has_properties": F.lit(False), "property_count": F.lit(0)}
@@ -200,7 +200,7 @@ def _graft(frontier: DataFrame, own: DataFrame) -> DataFrame:
     # What a member of an allOf says besides properties and members is lost.
     lost = (F.size("chain") > 0) & F.rlike(node["real_path"], F.lit(r"\A/(?:items|additionalProperties|oneOf|anyOf)(?:/|\z)"))
     row = F.when(F.col("own").isNull(), _row(**marker)).when(~lost, _row(**grafted))
-    return keep(joined, ROOT, row)
+    return keep(rows, ROOT, row)
 
 
 def expand(roots: DataFrame, components: DataFrame, slots: tuple[str, ...] = ALL_SLOTS) -> DataFrame:
@@ -234,10 +234,9 @@ def flatten_members(nodes: DataFrame) -> DataFrame:
     ordered = placed.withColumn("ord", F.row_number().over(
         Window.partitionBy(*ROOT, "object", "_loses").orderBy(index_first, "_place")).cast("bigint"))
     losers = ordered.filter("_loses").select(*ROOT, F.col("real_path").alias("loser"))
-    dead = (nodes.filter(F.size("contested") > 0).select(*ROOT, "real_path", F.explode("contested").alias("loser"))
-            .join(losers, [*ROOT, "loser"], "left_semi").select(*ROOT, "real_path").distinct())
-    alive = (nodes.filter("not declared_in_allof").unionByName(ordered.drop("_loses", "_place"))
-             .join(dead, [*ROOT, "real_path"], "left_anti"))
+    contests = nodes.filter(F.size("contested") > 0).select(*ROOT, "real_path", F.explode("contested").alias("loser"))
+    dead = joined(contests, losers, [*ROOT, "loser"], "left_semi").select(*ROOT, "real_path").distinct()
+    alive = joined(nodes.filter("not declared_in_allof").unionByName(ordered.drop("_loses", "_place")), dead, [*ROOT, "real_path"], "left_anti")
 
     own = ["path", "parent_path", "slot", "key", "ord", "ref_name", "type", "format", "enum", "required", "has_properties", "property_count", "additional"]
     whole = alive.filter("not in_allof").select(*ROOT, *own)

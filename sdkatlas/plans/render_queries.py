@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sdkatlas.operators import calltext, contract, match, render, schema, values
+from sdkatlas.functions.rows import joined
 from sdkatlas.plans import corpus, manifest
 from sdkatlas.plans.contract_queries import OPS
 from sdkatlas.plans.registry import query
@@ -46,7 +47,7 @@ def contract_body_nodes(spark, sf, only=None):
     roots = schema.roots_of(ends.select("repo_id", F.lit("body").alias("usage"), F.col("body_schema").alias("text")))
     nodes = schema.resolve(roots, contract.components(docs))
     place = Window.partitionBy("repo_id", "root_id", "parent_path", "slot").orderBy("ord")
-    return ends.drop("body_schema").join(nodes.withColumn("ord", F.row_number().over(place)), ["repo_id", "root_id"])
+    return joined(ends.drop("body_schema"), nodes.withColumn("ord", F.row_number().over(place)), ["repo_id", "root_id"])
 
 
 def _node_columns(rows):
@@ -78,7 +79,7 @@ def prepared(spark, sf):
     docs = checkpointed(corpus.contract_documents(spark, sf))
     languages = corpus.contract_languages(spark, sf)
     ends = checkpointed(contract.endpoints(docs))
-    rows = match.matched(ends, match.mapping_index(corpus.contract_mappings(spark, sf))).join(languages, "repo_id")
+    rows = joined(match.matched(ends, match.mapping_index(corpus.contract_mappings(spark, sf))), languages, "repo_id")
     return rows, render.resolved_nodes(ends, contract.components(docs), languages)
 
 
@@ -155,7 +156,7 @@ def nested_fields(spark, sf):
     rows, nodes = shaped(spark, sf)
     below = render.catalog(nodes).filter(~render.is_top() & (F.col("usage") == "body")).select(
         "repo_id", F.col("root_id").alias("body_root"), "path", "json_key", "kind", "required", "wrap")
-    return rows.select(*KEY, "body_root").join(below, ["repo_id", "body_root"]).drop("body_root")
+    return joined(rows.select(*KEY, "body_root"), below, ["repo_id", "body_root"]).drop("body_root")
 
 
 @query("passthrough", f"""with {OPS} select repo_id, http_method, http_path, case when p % 6 = 3 then 'list' else 'object' end as kind, '{{{{value}}}}' as field_template
@@ -172,7 +173,7 @@ QUERY_DROPPED = "(p % 6 in (3, 5) or (language = 'typescript' and p % 7 = 0))"
 def query_fold(spark, sf):
     rows, _ = shaped(spark, sf)
     dropped = render.warnings(rows).filter(F.col("warning").startswith("query_"))
-    return rows.select(*KEY, "folds_query").join(dropped.select(*KEY, "warning"), KEY, "left")
+    return joined(rows.select(*KEY, "folds_query"), dropped.select(*KEY, "warning"), KEY, "left")
 
 
 @query("java_unrenderable", f"""with {OPS} select repo_id, http_method, http_path, language = 'java' and p % 6 not in (3, 5) and p % 4 = 0 as java_unrenderable from ops""")
