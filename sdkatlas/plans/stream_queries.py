@@ -64,7 +64,7 @@ def refresh_query(spark, sf):
     place = f"{spark.sparkContext.getCheckpointDir()}/refresh-{uuid.uuid4().hex}"
     schema = corpus.table(spark, sf, "part").schema
     for run in range(2):
-        parts = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf)
+        parts = spark.readStream.schema(schema).parquet(f"{sf}/part.parque[t]")  # as a pattern, it may be a file or a folder
         touched = parts.select(F.floor(F.col("p_partkey") / corpus.PARTS_PER_DOC).alias("repo_id"))
         # A new checkpoint makes the second run see all arrivals again; its batches come after the first's.
         first = refresh.next_batch(spark, f"{place}/store")

@@ -37,3 +37,8 @@ def test_no_growing_side_is_broadcast(spark, tables, name):
 def test_manifests_broadcast_the_rules_alone(spark, tables):
     plan = final_plan(registry.QUERIES["manifest_json"](spark, tables)).split("== Initial Plan ==")[0]
     assert len(re.findall(r"BroadcastHashJoin \[language", plan)) == plan.count("BroadcastHashJoin") == 1
+
+
+def test_refresh_reads_a_table_of_many_files(spark, tables):
+    rows = registry.QUERIES["refresh"](spark, tables).collect()
+    assert sorted((r.repo_id, r.artifact, r.versions) for r in rows) == [(i, a, 1) for i in range(4) for a in ("manifest", "spec")]
