@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from sdkatlas.plans import job_queries, registry, render_queries, source_queries, stream_queries  # noqa: F401
+from sdkatlas.functions.brackets import cut_balanced
+from sdkatlas.operators.ts_calls import typescript_endpoints
+from sdkatlas.plans import corpus, job_queries, registry, render_queries, source_queries, stream_queries  # noqa: F401
 
 PART = "p_partkey bigint, p_name string, p_type string, p_size bigint"
 
@@ -39,6 +42,29 @@ def test_manifests_broadcast_the_rules_alone(spark, tables):
     assert len(re.findall(r"BroadcastHashJoin \[language", plan)) == plan.count("BroadcastHashJoin") == 1
 
 
+@pytest.mark.parametrize("make", [corpus.python_files, corpus.java_files, corpus.typescript_files, corpus.spec_documents, corpus.contract_documents])
+def test_texts_are_read_where_they_are_made(spark, tables, make):
+    """No text is shuffled after it is put together: dealing them out in turn sorts them all and binds what reads them to the number of cores."""
+    plan = final_plan(make(spark, tables))
+    assert "RoundRobinPartitioning" not in plan and "hashpartitioning(repo_id" in plan
+
+
 def test_refresh_reads_a_table_of_many_files(spark, tables):
     rows = registry.QUERIES["refresh"](spark, tables).collect()
     assert sorted((r.repo_id, r.artifact, r.versions) for r in rows) == [(i, a, 1) for i in range(4) for a in ("manifest", "spec")]
+
+
+def test_brackets_are_cut_in_one_pass(spark):
+    """Texts without a closing bracket, with others before and long ones behind it."""
+    texts = ["f(a(b)c)d(e)", "no bracket", "(open (twice)", ")first(then", "", None, "(" * 50 + ")" * 50 + "x" * 200_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(cut_balanced(F.col("t"), "(", ")").alias("cut")).collect()
+    assert [r.cut for r in rows] == ["f(a(b)c)", None, None, None, None, None, "(" * 50 + ")" * 50]
+
+
+def test_typescript_masks_hold_whatever_the_text_holds(spark, files):
+    """The quick mask and that of texts with its cut character give the same bodies."""
+    code = ("class C {\n    private async __a(r: Op = {}): Promise<X> {\n        // it's {\n        const s = \"{\" + '}' + `x${core.f(id)}y`;\n"
+            "        const _response = await core.fetcher({ url: core.url.join(b, `a/${core.url.encodePathParam(id)}`), method: \"GET\", });\n        /* } */\n    }\n}\n")
+    path = "src/api/resources/items/client/Client.ts"
+    read = lambda text: [tuple(r) for r in typescript_endpoints(files((path, text))).select("http_method", "http_path", "method_name").collect()]
+    assert read(code) == [("GET", "/a/{id}", "a")] == read(code.replace("it's", "it's \u000e"))
