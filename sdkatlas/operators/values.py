@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sdkatlas.functions.jsontext import json_kind, key_order, marked, members, quote, string_or
+from sdkatlas.functions.rows import joined, task_count
 from sdkatlas.session import checkpointed
 
 _CHILD = "array<struct<step:string,key:string,ord:bigint,json:string>>"
@@ -57,8 +58,9 @@ def shred(values: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def assemble(nodes: DataFrame, ids: list[str]) -> DataFrame:
-    """`nodes` as `shred` makes them back to (ids…, json), from the deepest level up."""
+    """`nodes` as `shred` makes them back to (ids…, json), from the deepest level up. Rows are dealt out by their number, for the join as for the groups."""
     rows = checkpointed(nodes)
+    tasks = task_count(rows)
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     below = None
     for depth in range(deepest, -1, -1):
@@ -69,11 +71,11 @@ def assemble(nodes: DataFrame, ids: list[str]) -> DataFrame:
                     .when(F.col("kind") == "array", F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.col("json")))
         else:
             text = F.col("json")
-        level = (level if below is None else level.join(below, [*ids, "at"], "left")).withColumn("json", text)
+        level = (level if below is None else joined(level.repartition(tasks, *ids, "at"), below, [*ids, "at"], "left")).withColumn("json", text)
         member = F.when(F.col("key").isNotNull(), F.concat(quote(F.col("key")), F.lit(":"), "json")).otherwise(F.col("json"))
         if depth:
             # The children of one container: no more than its text lists.
-            below = level.groupBy(*ids, F.col("parent").alias("at")).agg(F.array_join(F.transform(
+            below = level.repartition(tasks, *ids, "parent").groupBy(*ids, F.col("parent").alias("at")).agg(F.array_join(F.transform(
                 F.sort_array(F.collect_list(F.struct("ord", member.alias("text")))), lambda c: c["text"]), ",").alias("inner"))
     return level.select(*ids, "json")
 
@@ -87,7 +89,8 @@ def merge(base: DataFrame, over: DataFrame, ids: list[str]) -> DataFrame:
     container stands right before what it holds, so the last replaced place before a row tells whether the row lies below it.
     """
     sides = base.select(*ids, F.lit(False).alias("over"), "json").unionByName(over.select(*ids, F.lit(True).alias("over"), "json"))
-    nodes = shred(sides, [*ids, "over"]).repartition(*ids)  # both windows below keep this partitioning
+    nodes = shred(sides, [*ids, "over"])
+    nodes = nodes.repartition(task_count(nodes), *ids)  # both windows below keep this partitioning, and it holds as many rows a task at any size
     here = Window.partitionBy(*ids, "at")
     of_side = lambda column, is_over: F.max(F.when(F.col("over") == is_over, F.col(column))).over(here)
     # Only below objects on both sides do two values meet; below a list everything is one side's.
