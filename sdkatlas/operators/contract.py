@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sdkatlas.functions.jsontext import TEXT_MAP, key_order, member_json, members, once
-from sdkatlas.functions.text import first_group, normalize_placeholders
+from sdkatlas.functions.text import bind, first_group, normalize_placeholders
 
 # The operation keys that count as HTTP methods.
 HTTP_METHODS = ["get", "post", "put", "delete", "patch"]
@@ -130,7 +130,7 @@ def json_media(content: Column) -> Column:
         (m["key"] != "application/json").alias("inexact"), key_order(m["key"], i).alias("ord"),
         m["key"].alias("content_type"), m["value"].alias("media")))
     best = F.array_min(F.filter(ranked, lambda m: F.contains(m["content_type"], F.lit("json")) & m["media"].isNotNull()))
-    return F.when(best.isNotNull(), F.struct(best["content_type"].alias("content_type"), best["media"].alias("media")))
+    return bind(best, lambda b: F.when(b.isNotNull(), F.struct(b["content_type"].alias("content_type"), b["media"].alias("media"))))
 
 
 def example_of(media: Column) -> Column:
@@ -147,13 +147,16 @@ def success_response(responses: Column) -> Column:
         key_order(m["key"], i).alias("ord"), m["key"].alias("code"),
         F.from_json(m["value"], "struct<content:string>")["content"].alias("content")))
     ok = F.filter(coded, lambda r: r["code"].startswith("2"))
-    streaming = F.exists(ok, lambda r: F.coalesce(
-        F.map_contains_key(F.from_json(r["content"], TEXT_MAP), "text/event-stream"), F.lit(False)))
-    bodies = F.transform(ok, lambda r: F.struct(
-        r["ord"].alias("ord"), example_of(json_media(r["content"])["media"]).alias("json")))
-    first = F.array_min(F.filter(bodies, lambda b: b["json"].isNotNull()))["json"]
-    is_streaming = F.coalesce(streaming, F.lit(False))
-    return F.struct(is_streaming.alias("is_streaming"), F.when(~is_streaming, first).alias("example"))
+
+    def picked(found):
+        streaming = F.exists(found, lambda r: F.coalesce(
+            F.map_contains_key(F.from_json(r["content"], TEXT_MAP), "text/event-stream"), F.lit(False)))
+        bodies = F.transform(found, lambda r: F.struct(
+            r["ord"].alias("ord"), bind(json_media(r["content"])["media"], example_of).alias("json")))
+        first = F.array_min(F.filter(bodies, lambda b: b["json"].isNotNull()))["json"]
+        return bind(F.coalesce(streaming, F.lit(False)), lambda s: F.struct(s.alias("is_streaming"), F.when(~s, first).alias("example")))
+
+    return bind(ok, picked)
 
 
 def endpoints(specs: DataFrame) -> DataFrame:
