@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -116,8 +117,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def symbols_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Places in the TOP list (-1 outside) and symbols."""
-    get = v.index.get
-    places = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    places = np.fromiter(map(v.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
     symbols = v.symbols[places]
     for i in np.flatnonzero(places < 0).tolist():
         symbols[i] = class_of(words[i], v.frequent, v.classes)

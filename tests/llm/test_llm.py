@@ -499,3 +499,10 @@ def test_pipeline(spark):
     found = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     check_packing(found, {r["doc_id"]: r["text"] for r in docs.collect()})
     assert isinstance(pd.DataFrame(found), pd.DataFrame)
+
+
+def test_symbols_of_words_known_and_not():
+    v = lm.Vocabulary({b"a": 0, b"b": 1}, np.zeros(2), np.array([0, 5], dtype=np.int32), 3, 2, np.zeros(9), 4, 4)
+    places, symbols = lm.symbols_of([b"b", b"zz", b"a", b"b"], v)
+    assert places.tolist() == [1, -1, 0, 1] and symbols.tolist() == [5, lm.class_of(b"zz", 4, 4), 0, 5]
+    assert lm.symbols_of([], v)[0].tolist() == []
