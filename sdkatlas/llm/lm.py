@@ -7,7 +7,8 @@ A word outside the frequent ones has the probability of its class times its shar
 last 0.1 is for any word not seen. So all probabilities sum to one.
 
 Counts, class sums and the base score are over all training documents. The TOP commonest words go to the tasks in a broadcast of bounded size;
-other words are joined with their counts by a shuffle, in which no word is frequent. The network is fitted on all windows of all training
+other words are joined with their counts by a shuffle, in which no word is frequent. Texts are taken apart once more, into symbols, which are saved: the
+windows are counted and the texts are scored from these. The network is fitted on all windows of all training
 documents, as counts of distinct (before-before, before, next) symbols. These are dealt to shards by their hash, and a shard is cut into rows of CHUNK
 windows, which is what a task holds at once; in each of EPOCHS rounds every shard is trained from the same weights, row after row, and the
 weights are merged by the shards' counts.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -35,11 +36,13 @@ from sdkatlas.llm import common
 ADD = 0.1
 FREQUENT, CLASSES, TOP = 768, 255, 150_000
 GROWTH = 10.0  # symbols by the cube root of the number of distinct words
-SHARD, CHUNK, FLUSH_WINDOWS, ROWS = 2_000_000, 300_000, 1_000_000, 64  # tokens of a shard, different windows of a row, windows counted before they are passed on, symbols merged together
+SHARD, CHUNK, FLUSH_WINDOWS, ROWS = 2_000_000, 300_000, 3_000_000, 64  # tokens of a shard, different windows of a row, windows counted before they are passed on, symbols merged together
+GROUP, PASSED = 50_000, 250_000  # tokens that are looked up or scored together, rows of counted windows that are passed on together
 DIMENSIONS, NOISE, EPOCHS, BATCH, LEARN = 24, 96, 3, 2048, 0.15
 END = b"\n"  # no word holds white space
 FLUSH = 200_000  # words that a task counts before it passes them on
-LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, parts double, rare array<struct<word:binary,n:int>>"
+LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, parts double, rare array<struct<word:binary,n:int>>, symbols binary"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, parts double"
 
 
 @dataclass
@@ -124,6 +127,39 @@ def symbols_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return places, symbols
 
 
+def grouped(lists: Iterable[list | np.ndarray]) -> Iterator[tuple[int, list[list | np.ndarray]]]:
+    """Where each group begins and its lists, GROUP elements together (or a longer list alone)."""
+    held, many, first = [], 0, 0
+    for one in lists:
+        if held and many + len(one) > GROUP:
+            yield first, held
+            first, held, many = first + len(held), [], 0
+        held.append(one)
+        many += len(one)
+    if held:
+        yield first, held
+
+
+def begins_of(lists: list[list | np.ndarray]) -> np.ndarray:
+    """Where each of the lists, none of them empty, begins when they stand behind each other."""
+    return np.cumsum([0, *map(len, lists[:-1])])
+
+
+def split_texts(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    return ([*data.lower().split(), END] for data in texts)
+
+
+def symbol_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<i4"
+
+
+def symbol_lists(batch: pd.DataFrame, v: Vocabulary) -> Iterator[np.ndarray]:
+    """The symbols of each document, as they were saved or from its text."""
+    if "symbols" in batch:
+        return (np.frombuffer(data, symbol_type(v.size)) for data in batch["symbols"])
+    return (symbols_of(words, v)[1] for words in split_texts(batch["text"]))
+
+
 def first_state(log_noise: np.ndarray, seed: int = 7) -> np.ndarray:
     """Weights and Adagrad's sums as one matrix: a row for each symbol (r, q, b, then their sums) and a last one for c."""
     rng, size = np.random.default_rng(seed), len(log_noise)
@@ -229,19 +265,20 @@ def counted_windows(training: DataFrame, shared, start: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, held, many = shared.value, [], 0
 
-        def summed() -> pd.DataFrame:
+        def summed() -> Iterator[pd.DataFrame]:
             codes, n = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
-            return pd.DataFrame({"window": codes, "n": n.astype(np.int64)})
+            for i in range(0, len(codes), PASSED):
+                yield pd.DataFrame({"window": codes[i:i + PASSED], "n": n[i:i + PASSED].astype(np.int64)})
 
         for batch in batches:
-            for data in batch["text"]:
-                far, near, target = windows_of(symbols_of([*data.lower().split(), END], v)[1], start).astype(np.int64).T
+            for _, lists in grouped(symbol_lists(batch, v)):
+                far, near, target = windows_of(np.concatenate(lists), start, begins_of(lists)).astype(np.int64).T
                 held.append((far * v.size + near) * v.size + target)
                 many += len(target)
                 if many >= FLUSH_WINDOWS:
-                    yield summed()
+                    yield from summed()
                     held, many = [], 0
-        yield summed()
+        yield from summed()
 
     return training.mapInPandas(count, "window long, n long")
 
@@ -362,17 +399,41 @@ def fit_table(training: DataFrame, shared) -> Network:
     return network_of(w, norm)
 
 
-def windows_of(symbols: np.ndarray, start: int) -> np.ndarray:
-    padded = np.r_[start, start, symbols]
-    return np.stack([padded[:-2], padded[1:-1], padded[2:]], axis=1)
+def windows_of(symbols: np.ndarray, start: int, begins: np.ndarray | int = 0) -> np.ndarray:
+    """Rows of the one before that, before, next; of several documents behind each other where it says where they begin."""
+    symbols = symbols.astype(np.int32)
+    padded = np.r_[start, start, symbols].astype(np.int32)
+    far, near = padded[:-2].copy(), padded[1:-1].copy()
+    near[begins] = start
+    seconds = np.atleast_1d(begins) + 1
+    far[begins] = far[seconds[seconds < len(far)]] = start
+    return np.stack([far, near, symbols], axis=1)
 
 
-def log10_probabilities(symbols: np.ndarray, network: Network, start: int) -> np.ndarray:
-    far, near, target = windows_of(symbols, start).T
+def log10_probabilities(symbols: np.ndarray, network: Network, start: int, begins: np.ndarray | int = 0) -> np.ndarray:
+    far, near, target = windows_of(symbols, start, begins).T
     scores = np.einsum("ij,ij->i", network.near[near] + network.far[far], network.out[target]) + network.bias[target]
     return (scores - network.norm[near, far]).astype(np.float64) / np.log(10)
 
 
+def local_rows(texts: Iterable[bytes], v: Vocabulary) -> Iterator[tuple]:
+    """What of a text needs the TOP words only: n_tokens, known, logs, parts (without the network's), rare, symbols."""
+    for _, lists in grouped(split_texts(texts)):
+        words, begins = [w for one in lists for w in one], begins_of(lists)
+        places, symbols = symbols_of(words, v)
+        known = places >= 0
+        logs = np.where(known, v.logs[places], 0.0)
+        parts = np.where(symbols >= v.frequent, logs, 0.0) - v.class_logs[symbols]
+        rare: list[Counter] = [Counter() for _ in lists]
+        unknown = np.flatnonzero(~known)
+        for i, k in zip(unknown.tolist(), (np.searchsorted(begins, unknown, side="right") - 1).tolist(), strict=True):
+            rare[k][words[i]] += 1
+        saved = np.split(symbols.astype(symbol_type(v.size)), begins[1:])
+        sums = (np.add.reduceat(x, begins).tolist() for x in (known.astype(np.int64), logs, parts))
+        for one, a, b, c, r, x in zip(lists, *sums, rare, saved, strict=True):
+            yield len(one), a, b, c, [{"word": w, "n": n} for w, n in r.items()], x.tobytes()
+
+
 def score_documents(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select("doc_id", F.coalesce(common.fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"), common.utf8(F.col("text")).alias("text"))
@@ -380,34 +441,32 @@ def score_documents(documents: DataFrame) -> DataFrame:
     counts = common.saved(training.mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     v = vocabulary(counts)
     shared, start = spark.sparkContext.broadcast(v), v.size - 1
-    network = spark.sparkContext.broadcast(fit_table(training, shared))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary_, net, row = shared.value, network.value, TaskContext.get().partitionId() << 33
-        names = [c.split()[0] for c in LOCAL.split(", ")]
-        empty = not vocabulary_.tokens
+    def taken_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row, names = TaskContext.get().partitionId() << 33, [c.split()[0] for c in LOCAL.split(", ")]
         for batch in batches:
-            rows = []
-            for doc_id, held_out, data in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                words = [*data.lower().split(), END]
-                places, symbols = symbols_of(words, vocabulary_)
-                if empty:
-                    places[:] = -1
-                known = places >= 0
-                logs = vocabulary_.logs[places[known]]
-                classed = symbols >= vocabulary_.frequent
-                parts = log10_probabilities(symbols, net, start).sum() - vocabulary_.class_logs[symbols[classed]].sum() + logs[classed[known]].sum()
-                rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
-                rows.append((row, doc_id, held_out, len(words), int(known.sum()), logs.sum(), parts, [{"word": w, "n": n} for w, n in rare.items()]))
-                row += 1
+            rows = [(row + k, doc_id, held_out, *rest) for k, (doc_id, held_out, rest) in
+                    enumerate(zip(batch["doc_id"], batch["held_out"], local_rows(batch["text"], shared.value), strict=True))]
+            row += len(rows)
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    local = common.saved(docs.mapInPandas(score, LOCAL), "lm-local")
+    local = common.saved(docs.mapInPandas(taken_apart, LOCAL), "lm-local")
+    network = spark.sparkContext.broadcast(fit_table(local.filter(~F.col("held_out")).select("symbols"), shared))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = batch["parts"].to_numpy(copy=True)
+            for first, lists in grouped(symbol_lists(batch, shared.value)):
+                begins = begins_of(lists)
+                parts[first:first + len(lists)] += np.add.reduceat(log10_probabilities(np.concatenate(lists), network.value, start, begins), begins)
+            yield batch.drop(columns="symbols").assign(parts=parts).astype({"doc_id": "Int64"})
+
+    scored = local.drop("rare").mapInPandas(score, SCORED)
     rare = local.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("k"))
     joined = rare.join(counts.withColumnRenamed("n", "c"), "word", "left")
     sums = joined.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("seen"),
                                      F.sum(F.col("k") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + ADD)).alias("rare_logs"))
-    all_ = local.drop("rare").join(sums, "row", "left")
+    all_ = scored.join(sums, "row", "left")
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
                        (F.col("logs") + rare_logs - F.col("n_tokens") * F.lit(v.total_log)).alias("base_score"), (F.col("parts") + rare_logs).alias("score"))

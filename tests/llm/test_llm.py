@@ -506,3 +506,28 @@ def test_symbols_of_words_known_and_not():
     places, symbols = lm.symbols_of([b"b", b"zz", b"a", b"b"], v)
     assert places.tolist() == [1, -1, 0, 1] and symbols.tolist() == [5, lm.class_of(b"zz", 4, 4), 0, 5]
     assert lm.symbols_of([], v)[0].tolist() == []
+
+
+def test_lm_takes_texts_apart_once_for_windows_and_scores(spark, monkeypatch):
+    """The saved symbols give the windows and the scores that each text gives by itself; long texts, empty ones and copies stand in one group."""
+    texts = [b"", b"a", b"a b", b"B a zz a qq zz", b"a b " * 40, b"", b"b"]
+    words = Counter(w for t in texts[:3] + texts[4:] for w in [*t.split(), lm.END])
+    common.table(spark, SF, "documents")
+    v = lm.vocabulary(spark.createDataFrame(list(words.items()), "word binary, n long"))
+    rng, start = np.random.default_rng(1), v.size - 1
+    network = lm.Network(*(rng.normal(0, 1, (v.size, 4)) for _ in range(3)), rng.normal(0, 1, v.size), rng.normal(0, 1, (v.size, v.size)))
+    symbols = [lm.symbols_of([*t.lower().split(), lm.END], v)[1] for t in texts]
+    for group in (1, 7, 10_000):
+        monkeypatch.setattr(lm, "GROUP", group)
+        rows = list(lm.local_rows(texts, v))
+        saved = pd.DataFrame({"symbols": [r[5] for r in rows]})
+        found, windows = [], []
+        for _, lists in lm.grouped(lm.symbol_lists(saved, v)):
+            begins = lm.begins_of(lists)
+            windows += lm.windows_of(np.concatenate(lists), start, begins).tolist()
+            found += np.add.reduceat(lm.log10_probabilities(np.concatenate(lists), network, start, begins), begins).tolist()
+        assert windows == [w for s in symbols for w in np.stack([np.r_[start, start, s][:-2], np.r_[start, s][:-1], s], axis=1).tolist()]
+        assert np.allclose(found, [lm.log10_probabilities(s, network, start).sum() for s in symbols])
+        assert [r[:2] for r in rows] == [(len(s), len(s) - 3 * (i == 3)) for i, s in enumerate(symbols)]
+        assert rows[3][4] == [{"word": b"zz", "n": 2}, {"word": b"qq", "n": 1}] and not rows[0][4]
+    assert lm.local_rows([], v) is not None and not list(lm.local_rows([], v))
