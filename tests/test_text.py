@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sdkatlas.functions import text as tx
-from sdkatlas.functions.brackets import argument_value, cut_balanced, innermost_identifier
+from sdkatlas.functions.brackets import argument_value, cut_balanced, innermost_identifier, opens_and_closes
 from sdkatlas.functions.jsontext import json_kind, key_order, marked, member_json, quote, unmarked
 
 
@@ -64,3 +66,35 @@ def test_marks_come_off_again(spark, documents):
     assert column_of(spark, texts, lambda c: unmarked(marked(c))) == texts
     wrapped = [json.dumps({"v": d, "w": 1}) for d in documents]
     assert [json.loads(f) for f in column_of(spark, wrapped, lambda c: member_json(c, "v"))] == documents
+
+
+def test_cut_lines_keeps_every_character(spark):
+    """As a look-ahead in front of every line cuts, with the text searched for as a pattern or as plain text."""
+    texts = ["", "x", "\n", "def a\ndef b\n", "\ndef a\n\n    def\ndef b", "a\r\ndef b\r\n", "undef\ndefdef\n\n"]
+    for pattern, start in (("def", ""), ("f", "de")):
+        assert column_of(spark, texts, lambda t: tx.cut_lines(t, pattern, start)) == [re.split(r"(?<=\n)(?=def)", t) for t in texts]
+
+
+def test_brackets_nested_or_not(spark):
+    """A pattern takes what is nested a few times, a fold the rest: the same from both, and neither recurses deeply."""
+    def brute(t):
+        depth, opened = 0, False
+        for i, c in enumerate(t):
+            depth, opened = depth + (c == "(") - (c == ")"), opened or c == "("
+            if c == ")" and opened and not depth:
+                return t[:i + 1]
+        return None
+
+    rng = random.Random(5)
+    texts = ["", "a", "f(x", ")(a)) b", "f(a)(b)", "x)(", *("f" + "(" * n + "a" + ")" * n + " (z)" for n in range(1, 12)), "f(" + "(a, [b])" * 20_000 + ") tail",
+             "f(" * 300 + ")" * 301, *("".join(rng.choice("(()) a\n") for _ in range(rng.randint(1, 40))) for _ in range(500))]
+    assert column_of(spark, texts, lambda t: cut_balanced(t, "(", ")")) == [brute(t) for t in texts]
+    assert column_of(spark, texts, opens_and_closes) == [t.count("(") <= t.count(")") and t.strip(" a\nfxbz,[]")[:1] == "(" for t in texts]
+
+
+def test_calls_are_not_folded_or_looked_ahead_for(spark):
+    """Files are not searched with a look-ahead at every character, and calls of few nested brackets not bracket by bracket."""
+    from sdkatlas.operators.py_calls import call_spans, method_pieces
+    files = spark.createDataFrame([], "repo_id bigint, path string, content string")
+    plan = call_spans(method_pieces(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?=^" not in plan and "\\nclass" in plan
