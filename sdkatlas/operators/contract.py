@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sdkatlas.functions.jsontext import TEXT_MAP, key_order, member_json, members, once
+from sdkatlas.functions.rows import joined, keep
 from sdkatlas.functions.text import bind, first_group, normalize_placeholders
 
 # The operation keys that count as HTTP methods.
@@ -63,14 +64,16 @@ def operations(specs: DataFrame) -> DataFrame:
     References to shared parameters are looked up while the document is still one row, so the
     registry is neither copied to each operation nor joined.
     """
-    doc = F.from_json("doc", f"struct<paths:{TEXT_MAP},components:struct<parameters:{TEXT_MAP}>>")
-    read = (specs.filter(is_document(F.col("doc")))
-            .select("repo_id", doc["paths"].alias("paths"),
-                    F.coalesce(doc["components"]["parameters"], F.create_map().cast(TEXT_MAP)).alias("registry")))
+    # Read in one piece: of fields that are picked out of the reading, Spark reads the text again for each.
+    doc = lambda text: F.from_json(text, f"struct<paths:{TEXT_MAP},components:struct<parameters:{TEXT_MAP}>>")
+    read = (keep(specs, ["repo_id"], bind(F.col("doc"), lambda text: F.when(is_document(text), doc(text))))
+            .select("repo_id", "paths", F.coalesce(F.col("components.parameters"), F.create_map().cast(TEXT_MAP)).alias("registry")))
     nothing = F.array().cast("array<string>")
 
     def listed(text):
-        return F.coalesce(F.from_json(text, "struct<parameters:array<string>>")["parameters"], nothing)
+        # Most texts list no parameters; the cheap test spares them the reading. A name can be written otherwise with backslashes only.
+        named = F.contains(text, F.lit("parameters")) | F.contains(text, F.lit("\\"))
+        return F.coalesce(F.when(named, F.from_json(text, "struct<parameters:array<string>>")["parameters"]), nothing)
 
     def of_path(path, path_pos):
         inherited = _parameters(listed(path["value"]), F.col("registry"))
@@ -97,7 +100,7 @@ def load_status(specs: DataFrame, ops: DataFrame) -> DataFrame:
     endpoints = F.coalesce("endpoints", F.lit(0))
     status = (F.when(~F.col("readable"), "unreadable")
               .when((F.col("paths") > 0) & (endpoints == 0), "no_endpoints").otherwise("ok"))
-    return (declared.join(loaded, "repo_id", "left")
+    return (joined(declared, loaded, "repo_id", "left")
             .select("repo_id", "paths", endpoints.alias("endpoints"), status.alias("status")))
 
 
