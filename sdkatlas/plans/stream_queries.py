@@ -10,7 +10,7 @@ from sdkatlas.plans import corpus, manifest
 from sdkatlas.plans.registry import query
 from sdkatlas.plans.render_queries import metadata_of
 from sdkatlas.operators.render import render_rules
-from sdkatlas.session import checkpointed, ensure_checkpoint_dir
+from sdkatlas.session import ensure_checkpoint_dir, saved
 from sdkatlas.streaming import arrivals, refresh
 
 
@@ -47,7 +47,7 @@ def late_spec(spark, sf):
 def contract_artifacts(spark, sf):
     """build(repos) for the contract corpus: each repo's contract and its manifest, from those repos' parts alone."""
     def build(repos):
-        specs = checkpointed(corpus.contract_documents(spark, sf, repos))
+        specs = saved(corpus.contract_documents(spark, sf, repos))
         languages = corpus.contract_languages(spark, sf, repos)
         examples = manifest.matched_examples(specs, corpus.contract_mappings(spark, sf, repos), languages)
         documents = manifest.manifest_documents(manifest.manifest_rows(examples, metadata_of(languages)), render_rules(spark))

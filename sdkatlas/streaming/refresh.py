@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sdkatlas.session import checkpointed
+from sdkatlas.session import checkpointed, saved
 from sdkatlas.sources.artifacts import to_write, with_digest
 
 KEY = ["repo_id", "artifact"]
@@ -123,9 +123,9 @@ def publish(batch: DataFrame, batch_id: int, store: str, build: Callable[[DataFr
     touched = [r[0] for r in repos.select(_bucket("repo_id", buckets).alias("bucket")).distinct().collect()]  # at most `buckets` numbers
     before = digests(spark, store, earlier, touched)
     current = with_digest(build(repos)).withColumn("bucket", _bucket("repo_id", buckets))
-    changed = checkpointed(to_write(current, before, KEY))
+    changed = saved(to_write(current, before, KEY))
     place = changed.repartition("bucket")
-    place.select("repo_id", "artifact", "digest", "payload", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
+    place.select("repo_id", "artifact", "digest", "payload", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
     own = place.select("repo_id", "artifact", "digest", "bucket", F.lit(batch_id).cast("bigint").alias("batch"))
     own.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/digests/batch={batch_id}")
     snapshot = log.snapshot
